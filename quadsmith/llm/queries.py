@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, ogg, quality, secrets
+from . import language, ogg, packing, quality, secrets, tokens
 from .common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir))
 
@@ -18,6 +22,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(table(spark, sf_dir))
 
@@ -27,8 +35,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
     "op6_ogg_media": op6_ogg_media,
     "op10_secret_scan": op10_secret_scan,
 }

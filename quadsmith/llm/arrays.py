@@ -143,3 +143,41 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + length, n), -1)
     return np.cumsum(change[:-1]) > 0
+
+
+def cells(values: np.ndarray, texts: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Share out all windows of `span` values inside a text: each belongs to the leftmost k-window of least hash in it.
+
+    Returns, for each run of windows with one owner, the owner's place, the first window's start and the last one's.
+    The owner depends on the window's content alone, so that equal windows have owners at equal distances.
+    """
+    none = np.zeros(0, np.int64)
+    n = len(values)
+    if not n:
+        return none, none, none
+    w = span - k + 1
+    low = window_minima(values, w)
+    end = np.repeat(texts[1:], np.diff(texts))
+    inside = np.arange(len(low)) + span <= end[: len(low)]
+    if not inside.any():
+        return none, none, none
+    change = np.ones(len(low), dtype=bool)
+    change[1:] = (low[1:] != low[:-1]) | ~inside[:-1]
+    at = np.flatnonzero(low == values[: len(low)]) + 1  # a window that starts with its owner is its last
+    change[at[at < len(low)]] = True
+    change[texts[:-1][texts[:-1] < len(low)]] = True
+    change &= inside
+    first = np.flatnonzero(change)
+    stop = np.append(first[1:], len(low))
+    before_end = np.searchsorted(np.flatnonzero(~inside), first)
+    outside = np.append(np.flatnonzero(~inside), len(low))
+    last = np.minimum(stop, outside[before_end]) - 1
+    owner = first.copy()
+    open_at = np.flatnonzero(values[owner] != low[first])
+    hits = np.flatnonzero(np.isin(values, np.unique(low[first])))  # few places; owners are among them
+    j = np.searchsorted(hits, first)
+    owner = hits[np.minimum(j, len(hits) - 1)]
+    while len(open_at := np.flatnonzero(values[owner] != low[first])):
+        j[open_at] += 1
+        owner[open_at] = hits[j[open_at]]
+    return owner, first, last

@@ -12,6 +12,7 @@ documents that cross block boundaries.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,13 +27,14 @@ from .common import TOKENIZERS, map_batches, shared_dir, tokenizer_file, written
 WORD_BPE = "word_bpe_49k.json"
 END_OF_TEXT = 49407
 BLOCK_TOKENS = 1 << 22
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)$")
 _KEPT: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizers file whose pre-tokenizer always splits at white space."""
 
-    def __init__(self, path: str, special: bool = True, limit: int = 500_000):
+    def __init__(self, path: str, special: bool = True, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,12 +53,31 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words. One of Latin letters and closing signs is put together from its lower-cased letters and its
+        signs, which the pre-tokenizer separates too."""
+        whole, split = [], []
+        for w in words:
+            m = _LATIN.match(w.decode())
+            if m and (m[2] or m[1] != m[1].lower()):
+                split.append((w, m[1].lower().encode(), m[2].encode()))
+            else:
+                whole.append(w)
+        parts = {p for _, core, tail in split for p in (core, tail) if p}
+        self._ask(sorted(parts.difference(self.index).union(whole)))
+        empty = len(self.index)
+        a = np.array([self.index[core] for _, core, _ in split], np.int64)
+        b = np.array([self.index[tail] if tail else -1 for _, _, tail in split], np.int64)
+        pair_lengths = np.stack([self.lengths[a], np.where(b < 0, 0, self.lengths[b])], axis=1)
+        pair_starts = np.stack([self.starts[a], self.starts[b]], axis=1)
+        self._store([w for w, _, _ in split], pair_lengths.sum(axis=1), self.ids[ragged(pair_starts.ravel(), pair_lengths.ravel())])
+        assert len(self.index) == empty + len(split)
+
+    def _ask(self, words: list[bytes]) -> None:
         plain = [w for w in words if b"<|" not in w]
         odd = [w for w in words if b"<|" in w]
-        sizes: list[np.ndarray] = []
-        parts: list[np.ndarray] = []
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
+        sizes, parts = [], []
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
             got = np.array(self.splitter.encode(self.mark.join(w.decode() for w in part) + self.mark, add_special_tokens=False).ids, np.int64)
             cut = np.flatnonzero(got == END_OF_TEXT)
             sizes.append(np.diff(cut, prepend=-1) - 1)
@@ -65,9 +86,10 @@ class WordTokenizer:
             got = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.int64)
             sizes.append(np.array([len(got)]))
             parts.append(got)
-        if not sizes:
-            return
-        size, ids = np.concatenate(sizes), np.concatenate(parts)
+        if sizes:
+            self._store(plain + odd, np.concatenate(sizes), np.concatenate(parts))
+
+    def _store(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.index)
         while n + len(size) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lengths))
@@ -77,7 +99,7 @@ class WordTokenizer:
         self.lengths[n : n + len(size)] = size
         self.starts[n : n + len(size)] = self.used + np.cumsum(size) - size
         self.used += len(ids)
-        self.index.update(zip(plain + odd, range(n, n + len(size))))
+        self.index.update(zip(words, range(n, n + len(size))))
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts buf[offs[i]:offs[i+1]], and each text's first place in them (one more than texts)."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, ogg, packing, quality, secrets, tokens
+from . import anchors, language, ogg, packing, quality, secrets, tokens
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(table(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.dedup_digest(table(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_ogg_media": op6_ogg_media,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE: dict[str, str] = {}

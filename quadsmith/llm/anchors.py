@@ -74,7 +74,8 @@ def hit_windows(words: Words, number: int, hits: Verdicts, block: int, window: i
     """Starts of the windows that hold a hit, their distinct keys, each one's key, and which keys stand here twice."""
     at, distinct, which, _, _ = block_keys(words, block)
     hit = np.zeros(len(words.hashes) + 1, np.int64)
-    hit[at[hits.of(number, len(distinct))[which]] + 1] = 1
+    several, indexed, _ = hits.of(number, len(distinct))
+    hit[at[(several & indexed)[which]] + 1] = 1
     total = np.cumsum(hit)
     start = words.windows(window)
     start = start[total[start + window - block + 1] > total[start]]
@@ -95,18 +96,18 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
         _, distinct, _, indexed, twice = block_keys(Words.of(rows.column(at)), block)
         yield pack_keys(number, distinct, indexed, twice, buckets, BLOCK_BITS)
 
-    hits = exchange(each(frozen, blocks, PACKED), need_mark=True)
+    hits = exchange(each(frozen, blocks, PACKED))
 
     def windows(number: int, rows: pa.RecordBatch) -> Iterator[dict]:
         _, distinct, _, twice = hit_windows(Words.of(rows.column(at)), number, hits, block, window)
         yield pack_keys(number, distinct, np.zeros(len(distinct), dtype=bool), twice, buckets, 64)
 
-    found = exchange(each(frozen, windows, PACKED), need_mark=False)
+    found = exchange(each(frozen, windows, PACKED))
 
     def repeated(number: int, column: pa.Array) -> tuple[Words, np.ndarray]:
         words = Words.of(column)
         start, distinct, which, _ = hit_windows(words, number, hits, block, window)
-        return words, covered(len(words.hashes), start[found.of(number, len(distinct))[which]], window)
+        return words, covered(len(words.hashes), start[found.of(number, len(distinct))[0][which]], window)
 
     return frozen, repeated
 

@@ -181,3 +181,15 @@ def cells(values: np.ndarray, texts: np.ndarray, k: int, span: int) -> tuple[np.
         j[open_at] += 1
         owner[open_at] = hits[j[open_at]]
     return owner, first, last
+
+
+def prefix_totals(values: np.ndarray) -> np.ndarray:
+    """Sums of value * base**place up to each place, for range_hashes."""
+    total = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum(values * powers(_R, len(values)), out=total[1:])
+    return total
+
+
+def range_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the values in each [start, end), wherever it stands."""
+    return mix((total[ends] - total[starts]) * powers(_R_INV, len(total))[starts] ^ ((ends - starts).astype(_U) << _U(40)))

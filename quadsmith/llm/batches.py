@@ -94,8 +94,8 @@ def pack_keys(number: int, keys: np.ndarray, marked: np.ndarray, many: np.ndarra
     return {"bucket": full, "batch": [number] * len(full), "n": np.diff(cut)[full], "keys": rows}
 
 
-def _judge(rows: pa.Table, need_mark: bool) -> pa.Table:
-    """For each key of a bucket: does it stand at two places or more, one of them marked if that is asked?"""
+def _judge(rows: pa.Table, many_places: int) -> pa.Table:
+    """For each key of a bucket three flags: it stands at two places or more; it is marked somewhere; at more than many_places."""
     counts = rows.column("n").to_pylist()
     keys, marked, many = [], [], []
     for n, raw in zip(counts, rows.column("keys").to_pylist()):
@@ -106,42 +106,54 @@ def _judge(rows: pa.Table, need_mark: bool) -> pa.Table:
         many.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, n * width + bits), count=n))
     _, which = np.unique(np.concatenate(keys), return_inverse=True)
     places = np.bincount(which, weights=1 + np.concatenate(many))
-    good = places > 1
-    if need_mark:
-        good &= np.bincount(which, weights=np.concatenate(marked)) > 0
-    flags = np.split(good[which], np.cumsum(counts)[:-1])
-    return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "n": rows.column("n"), "flags": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+    flags = (places > 1) * 1 + (np.bincount(which, weights=np.concatenate(marked)) > 0) * 2 + (places > many_places) * 4
+    parts = np.split(flags.astype(np.uint8)[which], np.cumsum(counts)[:-1])
+    packed = [b"".join(np.packbits(f >> k & 1).tobytes() for k in range(3)) for f in parts]
+    return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "n": rows.column("n"), "flags": pa.array(packed, pa.binary())})
 
 
-class Verdicts:
-    """What an exchange found, by batch, in the shared folder; read by the tasks."""
+class Store:
+    """Rows about batches in the shared folder, read by the tasks that work on the batch."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, rows: DataFrame):
+        self.folder = shared_dir(rows.sparkSession)
+        rows.withColumn("part", F.shiftright("batch", 32)).repartition("part").sortWithinPartitions("part", "batch").write.partitionBy("part").parquet(self.folder)
 
-    def of(self, number: int, count: int) -> np.ndarray:
-        """One flag for each of the batch's `count` keys, in order."""
+    def of(self, number: int) -> pa.Table:
+        """The rows of one batch; those of a batch without any are None."""
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        if not count:
-            return np.zeros(0, dtype=bool)
         store, place = fs.FileSystem.from_uri(self.folder)
-        found = pq.read_table(f"{place}/part={number >> 32}", filesystem=store, columns=["bucket", "n", "flags", "batch"], filters=[("batch", "=", number)], partitioning=None).sort_by("bucket")
-        flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=n) for n, f in zip(found.column("n").to_pylist(), found.column("flags").to_pylist())]
-        out = np.concatenate(flags).astype(bool)
-        if len(out) != count:
-            raise RuntimeError(f"batch {number}: {len(out)} verdicts for {count} keys")
+        place = f"{place}/part={number >> 32}"
+        if store.get_file_info(place).type == fs.FileType.NotFound:
+            return None
+        return pq.read_table(place, filesystem=store, filters=[("batch", "=", number)], partitioning=None)
+
+
+class Verdicts:
+    """What an exchange found, by batch."""
+
+    def __init__(self, rows: DataFrame):
+        self.store = Store(rows)
+
+    def of(self, number: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flags of the batch's `count` keys, in order: several places, marked, many places."""
+        if not count:
+            return (np.zeros(0, dtype=bool),) * 3
+        found = self.store.of(number).sort_by("bucket")
+        flags = []
+        for n, raw in zip(found.column("n").to_pylist(), found.column("flags").to_pylist()):
+            flags.append([np.unpackbits(x, count=n) for x in np.split(np.frombuffer(raw, np.uint8), 3)])
+        out = tuple(np.concatenate([f[k] for f in flags]).astype(bool) for k in range(3))
+        if len(out[0]) != count:
+            raise RuntimeError(f"batch {number}: {len(out[0])} verdicts for {count} keys")
         return out
 
 
-def exchange(packed: DataFrame, need_mark: bool) -> Verdicts:
-    """Bring equal keys of all batches together (rows of pack_keys) and write each batch's verdicts."""
-    spark = packed.sparkSession
-    folder = shared_dir(spark)
-    found = packed.groupBy("bucket").applyInArrow(lambda rows: _judge(rows, need_mark), "batch long, bucket int, n int, flags binary")
-    found.withColumn("part", F.shiftright("batch", 32)).repartition("part").sortWithinPartitions("part", "batch").write.partitionBy("part").parquet(folder)
-    return Verdicts(folder)
+def exchange(packed: DataFrame, many_places: int = 1) -> Verdicts:
+    """Bring equal keys of all batches together (rows of pack_keys) and keep each batch's verdicts."""
+    return Verdicts(packed.groupBy("bucket").applyInArrow(lambda rows: _judge(rows, many_places), "batch long, bucket int, n int, flags binary"))
 
 
 PACKED = "bucket int, batch long, n int, keys binary"

@@ -24,6 +24,7 @@ from .arrays import text_slices
 from .common import map_batches, shared_dir
 
 BATCH_BYTES = 8 << 20
+ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
 BUCKET_KEYS = 4_000_000
 
 
@@ -39,7 +40,7 @@ def freeze(df: DataFrame, text_col: str = "text", size: int = BATCH_BYTES) -> Da
         return sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << ROW_BITS
         held: list[pa.RecordBatch] = []
         have = 0
 
@@ -51,7 +52,7 @@ def freeze(df: DataFrame, text_col: str = "text", size: int = BATCH_BYTES) -> Da
 
         for batch in batches:
             for a, b, buf, _ in text_slices(batch.column(at), size // 4):
-                if have and have + len(buf) > size:
+                if have and have + len(buf) > size or held and b - a + sum(h.num_rows for h in held) >= 1 << (ROW_BITS - 1):
                     yield row()
                 held.append(batch.slice(a, b - a))
                 have += len(buf)
@@ -117,7 +118,7 @@ class Store:
 
     def __init__(self, rows: DataFrame):
         self.folder = shared_dir(rows.sparkSession)
-        rows.withColumn("part", F.shiftright("batch", 32)).repartition("part").sortWithinPartitions("part", "batch").write.partitionBy("part").parquet(self.folder)
+        rows.withColumn("part", F.shiftright("batch", ROW_BITS)).repartition("part").sortWithinPartitions("part", "batch").write.partitionBy("part").parquet(self.folder)
 
     def of(self, number: int) -> pa.Table:
         """The rows of one batch; those of a batch without any are None."""
@@ -125,7 +126,7 @@ class Store:
         from pyarrow import fs
 
         store, place = fs.FileSystem.from_uri(self.folder)
-        place = f"{place}/part={number >> 32}"
+        place = f"{place}/part={number >> ROW_BITS}"
         if store.get_file_info(place).type == fs.FileType.NotFound:
             return None
         return pq.read_table(place, filesystem=store, filters=[("batch", "=", number)], partitioning=None)

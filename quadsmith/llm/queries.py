@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, language, ogg, packing, quality, secrets, suffixes, tokens
+from . import anchors, language, ogg, packing, quality, secrets, simhash, suffixes, tokens
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(table(spark, sf_dir))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.dedup_digest(table(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_ogg_media": op6_ogg_media,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
 }

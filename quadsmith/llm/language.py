@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,34 +146,59 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batch: pa.RecordBatch) -> dict:
-        p = shared.value
-        column = batch.column(1)
-        names, scores = [], []
-        for a, b, buf, offs in text_slices(column):
-            letters = has_letter(column, buf, offs, a)
-            if not p.languages:
-                names += [UND] * (b - a)
-                scores += [0.0] * (b - a)
-                continue
-            rates = p.phrases(buf, offs) / np.maximum(1, np.diff(offs))
-            best = rates.argmin(axis=0)
-            ranked = np.sort(rates, axis=0)
-            score = 1 - ranked[0] / np.maximum(ranked[1], 1e-9) if len(ranked) > 1 else np.ones(b - a)
-            names += [p.languages[k] if ok else UND for k, ok in zip(best.tolist(), letters.tolist())]
-            scores += np.where(letters, np.clip(score, 0, 1), 0.0).tolist()
+        names, scores = predict(shared.value, batch.column(1))
         return {"doc_id": batch.column(0), "lang_pred": names, "score": scores}
 
     columns = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return map_batches(columns, run, "doc_id long, lang_pred string, score double")
 
 
+def predict(parser: CrossParser, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Languages and scores of a column of texts."""
+    names: list[str] = []
+    scores: list[float] = []
+    for a, b, buf, offs in text_slices(column):
+        if not parser.languages:
+            names += [UND] * (b - a)
+            scores += [0.0] * (b - a)
+            continue
+        letters = has_letter(column, buf, offs, a)
+        rates = parser.phrases(buf, offs) / np.maximum(1, np.diff(offs))
+        best = rates.argmin(axis=0)
+        ranked = np.sort(rates, axis=0)
+        score = 1 - ranked[0] / np.maximum(ranked[1], 1e-9) if len(ranked) > 1 else np.ones(b - a)
+        names += [parser.languages[k] if ok else UND for k, ok in zip(best.tolist(), letters.tolist())]
+        scores += np.where(letters, np.clip(score, 0, 1), 0.0).tolist()
+    return names, scores
+
+
+def recognised(docs: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with all columns, without the rows in no language; the language found replaces what `lang_col` said."""
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        for batch in batches:
+            names, _ = predict(shared.value, batch.column(text_at))
+            found = pa.array(names, pa.string())
+            new = batch.set_column(lang_at, batch.schema.field(lang_at), found.cast(batch.column(lang_at).type))
+            yield new.filter(pa.compute.not_equal(found, UND))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from fitting: crc32 of its id's digits is 2 modulo 4; a null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fit_unheld(docs: DataFrame) -> CrossParser:
+    """A parser of the labelled rows that aren't held out."""
+    return fit(docs.where(~held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fitted on the rows that aren't held out."""
-    parser = fit(docs.where(~held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
+    parser = fit_unheld(docs)
     found = identify(docs, parser)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

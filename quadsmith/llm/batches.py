@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .arrays import text_slices
 from .common import map_batches, shared_dir
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
-BUCKET_KEYS = 4_000_000
+BUCKET_KEYS = 1_000_000
 
 
 def freeze(df: DataFrame, text_col: str = "text", size: int = BATCH_BYTES) -> DataFrame:

@@ -255,7 +255,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
     """Freeze docs; return the frozen batches and a function (number, column) -> (Batch, which bytes are repeated)."""
     frozen = freeze(docs, text_col)
     size = frozen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets, solvers = 1 + size // (40 * BUCKET_KEYS), 1 + size // (16 << 20)
+    buckets, solvers = 1 + size // (100 * BUCKET_KEYS), 1 + size // (8 << 20)
     text_at = docs.columns.index(text_col)
     binary = lambda kinds: "".join(f", {k} binary" for k in kinds)
     found = Store(each(frozen, lambda number, rows: iter([{"batch": [number]} | _pack(find_cells(rows.column(text_at), window, OWNER))]), "batch long" + binary(_CELL)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import text_slices
-from .common import map_batches, shared_dir
+from .common import map_batches, shared_dir, trim
 
 BATCH_BYTES = 4 << 20
 ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
@@ -77,6 +77,7 @@ def each(frozen: DataFrame, fn: Callable[[int, pa.RecordBatch], Iterator[dict]],
             rows = thaw(data)
             if rows.num_rows:
                 yield from fn(number, rows)
+                trim()
 
     return map_batches(frozen.select("batch", "data"), run, schema)
 
@@ -110,6 +111,8 @@ def _judge(rows: pa.Table, many_places: int) -> pa.Table:
     flags = (places > 1) * 1 + (np.bincount(which, weights=np.concatenate(marked)) > 0) * 2 + (places > many_places) * 4
     parts = np.split(flags.astype(np.uint8)[which], np.cumsum(counts)[:-1])
     packed = [b"".join(np.packbits(f >> k & 1).tobytes() for k in range(3)) for f in parts]
+    del keys, which, places, flags, parts
+    trim()
     return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "n": rows.column("n"), "flags": pa.array(packed, pa.binary())})
 
 

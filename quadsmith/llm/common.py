@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir, shared_dir, written
+
+__all__ = ["checkpoint_dir", "map_batches", "shared_dir", "table", "tokenizer_file", "trim", "written"]
 TOKENIZERS = "/opt/tokenizers"
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
+
+
+pa.set_memory_pool(pa.system_memory_pool())  # so that trim() can give Arrow's memory back too
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: a worker process lives on between tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -33,50 +44,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
             for part in [made] if isinstance(made, dict) else made:
                 cols = [x.cast(f.type) if isinstance(x := part[f.name], pa.Array) else pa.array(x, type=f.type, from_pandas=True) for f in out]
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
+            trim()
 
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; where that is unset (tests) it is set to a temporary one."""
-    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, set as the context's checkpoint folder."""
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    have = jsc.getCheckpointDir()
-    if named is None and have.isDefined():
-        return have.get()
-    if named is None:
-        named = f"file://{tempfile.mkdtemp(prefix='quadsmith-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not have.isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def local_path(uri: str) -> str:
-    """The path of a file: URI; other schemes have no path here."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        raise ValueError(f"{uri} isn't a mounted folder")
-    return uri
-
-
 def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
     return os.path.join(folder, name)
-
-
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a whole text; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from .arrays import cells, mix, prefix_totals, ragged, range_hashes, text_slices, window_hashes
 from .batches import BUCKET_KEYS, PACKED, Store, each, exchange, freeze, pack_keys
-from .common import map_batches
+from .common import map_batches, trim
 
 WINDOW = 400
 OWNER = 64
 TILE = 16
 HOT_PLACES = 1000
 HOT_LOCAL = 256
-CHUNK_SYMBOLS = 200_000
+CHUNK_SYMBOLS = 100_000
 _U = np.uint64
 
 
@@ -248,6 +248,7 @@ def _suffix_rows(rows: pa.Table) -> pa.Table:
     masks = np.zeros(len(core), np.uint16)
     masks[order] = repeated_windows(core[one], left, right, several)[group]
     parts = np.split(masks, np.cumsum(counts)[:-1])
+    trim()
     return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "masks": pa.array([m.tobytes() for m in parts], pa.binary())})
 
 

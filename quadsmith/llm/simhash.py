@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Words
-from .arrays import mix, window_hashes
+from .arrays import mix, ragged, window_hashes
 from .batches import ROW_BITS, Store, each, freeze
 from .common import map_batches, written
 
@@ -36,6 +36,7 @@ DENSE = 3000
 STEP = 6
 HUB = 512
 _U = np.uint64
+_LANES = np.array([sum((b >> (7 - k) & 1) << (8 * k) for k in range(8)) for b in range(256)], _U)  # a byte's bits, a byte each
 _ORDERS = [np.random.default_rng(7000 + t).permutation(128) for t in range(256)]
 
 
@@ -67,21 +68,23 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def signatures(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """SimHashes of 128 bits, as two 64-bit columns, and two-word digests of the sets (texts without shingles: zeros)."""
     n = len(begin) - 1
-    sums = np.zeros((n, 128), np.int64)
+    sums = np.zeros((n, 128), np.int32)
     digest = np.zeros((n, 2), _U)
     full = np.flatnonzero(np.diff(begin))
-    step = max(1, (1 << 17))
     a, b = mix(values + _U(0x1234567)), mix(values ^ _U(0x9E3779B97F4A7C15))
     for k, x in enumerate((a, b)):
         total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(x + _U(k + 1)))])
         digest[:, k] = total[begin[1:]] - total[begin[:-1]]
     done = 0
     while done < len(full):
-        last = max(done + 1, int(np.searchsorted(begin[full + 1], begin[full[done]] + step, side="right")))
+        last = max(done + 1, int(np.searchsorted(begin[full + 1], begin[full[done]] + (1 << 16), side="right")))
         rows = full[done:last]
         lo, hi = int(begin[rows[0]]), int(begin[rows[-1] + 1])
-        bits = np.unpackbits(np.stack([a[lo:hi], b[lo:hi]], axis=1).view(np.uint8).reshape(hi - lo, 16), axis=1)
-        sums[rows] = np.add.reduceat(bits, begin[rows] - lo, axis=0, dtype=np.int32)
+        lanes = _LANES[np.stack([a[lo:hi], b[lo:hi]], axis=1).view(np.uint8).reshape(hi - lo, 16)]
+        blocks = -(-np.diff(begin)[rows] // 255)  # a lane counts to 255
+        starts = np.repeat(begin[rows] - lo, blocks) + 255 * ragged(np.zeros(len(rows), np.int64), blocks)
+        counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8)
+        sums[rows] = np.add.reduceat(counts, np.cumsum(blocks) - blocks, axis=0, dtype=np.int32)
         done = last
     bits = 2 * sums > np.diff(begin)[:, None]
     return np.packbits(bits, axis=1).view(">u8").astype(_U).reshape(n, 2), digest

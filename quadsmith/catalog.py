@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .engine import Engine
-from .sources.quads import BASE, tpch
+from .engine import Engine, Grants, Policy, overlay
+from .functions import terms as T
+from .operators import merge, rules, shacl
+from .operators.search import TextSearch
+from .sources.quads import BASE, QuadTable, tpch
 
 PREFIX = "".join(f"PREFIX {a}: <{BASE}{t}#> " for a, t in (("r", "region"), ("n", "nation"), ("su", "supplier"), ("c", "customer"), ("p", "part"), ("o", "orders"), ("l", "lineitem"), ("e", "events"), ("d", "documents")))
 TYPE = f"{BASE}type/"
@@ -179,3 +183,173 @@ sparql("f22_rounding", "SELECT ?s ?a ?c ?f ?r WHERE { ?s c:c_acctbal ?b BIND(ABS
 sparql("f23_dates", "SELECT ?s ?y ?m ?d ?h WHERE { ?s e:ts ?t BIND(YEAR(?t) AS ?y) BIND(MONTH(?t) AS ?m) BIND(DAY(?t) AS ?d) BIND(HOURS(?t) AS ?h) }", {"s": "key", "y": "long", "m": "long", "d": "long", "h": "long"}, "SELECT event_id AS s, year(ts)::BIGINT AS y, month(ts)::BIGINT AS m, day(ts)::BIGINT AS d, hour(ts)::BIGINT AS h FROM events", ["events"])
 sparql("f24_hashes", "SELECT ?s ?a ?b WHERE { ?s n:n_name ?x BIND(MD5(?x) AS ?a) BIND(SHA256(?x) AS ?b) }", {"s": "key", "a": "string", "b": "string"}, "SELECT n_nationkey::BIGINT AS s, md5(n_name) AS a, sha256(n_name) AS b FROM nation", ["nation"])
 sparql("f25_casts", "SELECT ?s ?i ?b WHERE { ?s p:p_retailprice ?x ; p:p_name ?n BIND(xsd:integer(?x) AS ?i) BIND(xsd:integer(?n) AS ?none) BIND(BOUND(?none) AS ?b) }", {"s": "key", "i": "long", "b": "boolean"}, "SELECT p_partkey AS s, trunc(p_retailprice)::BIGINT AS i, false AS b FROM part", ["part"])
+
+# --- query forms and updates
+
+frame("q2_ask", lambda s, d: engine(s, d, ["region"]).query(PREFIX + 'ASK { ?x r:r_name "EUROPE" }'), "SELECT count(*) > 0 AS answer FROM region WHERE r_name = 'EUROPE'")
+frame("j19_triangle_ask", lambda s, d: engine(s, d, ["supplier", "customer", "orders"]).query(PREFIX + "ASK { ?o o:o_custkey ?c . ?c c:c_nationkey ?n . ?s su:s_nationkey ?n }"), "SELECT count(*) > 0 AS answer FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_nationkey = c_nationkey")
+frame("q3_construct", lambda s, d: engine(s, d, ["nation", "region"]).query(PREFIX + "CONSTRUCT { ?r <urn:x:has> ?name } WHERE { ?n n:n_regionkey ?r ; n:n_name ?name }"), "SELECT '<urn:d:region/' || n_regionkey || '>' AS s, '<urn:x:has>' AS p, '\"' || n_name || '\"' AS o FROM nation")
+frame("q4_describe", lambda s, d: engine(s, d, ["region"]).query(PREFIX + 'DESCRIBE ?x WHERE { ?x r:r_name "ASIA" }'), f"SELECT '<urn:d:region/' || r_regionkey || '>' AS s, u.p, u.o FROM region, LATERAL (VALUES ('<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', '<{TYPE}region>'), ('<urn:d:region#r_name>', '\"ASIA\"'), ('<urn:d:region#r_regionkey>', '\"' || r_regionkey || '\"^^<http://www.w3.org/2001/XMLSchema#integer>')) u(p, o) WHERE r_name = 'ASIA'")
+frame("q8_insert_data", lambda s, d: engine(s, d, ["region"]).changes('INSERT DATA { GRAPH <urn:g> { <urn:a> <urn:p> "x", 1 } }'), "SELECT * FROM (VALUES ('insert', '<urn:g>', '<urn:a>', '<urn:p>', '\"x\"'), ('insert', '<urn:g>', '<urn:a>', '<urn:p>', '\"1\"^^<http://www.w3.org/2001/XMLSchema#integer>')) v(op, g, s, p, o)")
+frame("q9_delete_insert_where", lambda s, d: engine(s, d, ["nation"]).changes(PREFIX + "DELETE { GRAPH ?g { ?x n:n_name ?n } } INSERT { GRAPH ?g { ?x n:n_name ?low } } WHERE { GRAPH ?g { ?x n:n_name ?n ; n:n_regionkey <urn:d:region/1> BIND(LCASE(?n) AS ?low) } }"), "SELECT op, '<urn:d:g/nation>' AS g, '<urn:d:nation/' || n_nationkey || '>' AS s, '<urn:d:nation#n_name>' AS p, '\"' || CASE op WHEN 'insert' THEN lower(n_name) ELSE n_name END || '\"' AS o FROM nation, (VALUES ('delete'), ('insert')) v(op) WHERE n_regionkey = 1")
+frame("q10_clear_graph", lambda s, d: engine(s, d, ["region"]).changes("CLEAR GRAPH <urn:d:g/region>").groupBy("op", "g").count().withColumnRenamed("count", "n"), "SELECT 'delete' AS op, '<urn:d:g/region>' AS g, count(*) * 3 AS n FROM region")
+frame("q13_applied_changes", lambda s, d: engine(s, d, ["nation"]).update(PREFIX + 'DELETE WHERE { GRAPH <urn:d:g/nation> { ?x n:n_regionkey <urn:d:region/0> } }').query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?x n:n_regionkey ?r }").typed(n="long"), "SELECT count(*) AS n FROM nation WHERE n_regionkey <> 0")
+
+
+def _customers(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    """Customers' quads as a table, a graph each nation."""
+    return Engine(spark, QuadTable(tpch(spark, sf_dir, ["customer"]).scan(None)), **options)
+
+
+def _readable(spark: SparkSession, sf_dir: str) -> Engine:
+    policies = {f"<{BASE}g/customer/{i}>": Policy(i % 5 == 0, (f"/team/{i % 3}/n{i}",)) for i in range(25)}
+    return _customers(spark, sf_dir, policies=policies)
+
+
+frame("x3_visible_graphs_only", lambda s, d: _readable(s, d).query(PREFIX + "SELECT ?c ?b WHERE { ?c c:c_acctbal ?b }", Grants(read=("/team/1/*",))).typed(c="key", b="double"), "SELECT c_custkey AS c, c_acctbal AS b FROM customer WHERE c_nationkey % 5 = 0 OR c_nationkey % 3 = 1")
+frame("x2_public_only", lambda s, d: _readable(s, d).query(PREFIX + "SELECT ?c WHERE { ?c c:c_acctbal ?b }", Grants()).typed(c="key"), "SELECT c_custkey AS c FROM customer WHERE c_nationkey % 5 = 0")
+frame("q7_explicit_graphs", lambda s, d: _readable(s, d).query(PREFIX + "SELECT ?c WHERE { ?c c:c_acctbal ?b }", Grants(read=("/team/*",)), [f"<{BASE}g/customer/3>", f"<{BASE}g/customer/4>"]).typed(c="key"), "SELECT c_custkey AS c FROM customer WHERE c_nationkey IN (3, 4)")
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> Engine:
+    """Suppliers' quads in two graphs each."""
+    quads = tpch(spark, sf_dir, ["supplier"]).scan(None)
+    return Engine(spark, QuadTable(quads.unionByName(quads.withColumn("g", F.lit("<urn:copy>")))))
+
+
+frame("s5_union_of_copies", lambda s, d: _twice(s, d).query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?s su:s_acctbal ?b }").typed(n="long"), "SELECT count(*) AS n FROM supplier")
+frame("s4_copies_per_graph", lambda s, d: _twice(s, d).query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s su:s_acctbal ?b } }").typed(n="long"), "SELECT 2 * count(*) AS n FROM supplier")
+frame("s22_fingerprint", lambda s, d: merge.fingerprint(tpch(s, d, ["supplier"]).scan(None)).groupBy().agg(F.sum("n").alias("n"), F.count("g").alias("graphs")), "SELECT count(*)::BIGINT * (SELECT count(*) + 1 FROM (DESCRIBE supplier)) AS n, count(DISTINCT s_nationkey) AS graphs FROM supplier")
+frame("s12_overlay", lambda s, d: overlay(tpch(s, d, ["region"]).scan(None), engine(s, d, ["region"]).changes('DELETE WHERE { GRAPH <urn:d:g/region> { ?x <urn:d:region#r_name> ?n } }')).groupBy("p").count().select("p", F.col("count").alias("n")), f"SELECT p, (SELECT count(*) FROM region) AS n FROM (VALUES ('<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>'), ('<urn:d:region#r_regionkey>')) v(p)")
+
+# --- full-text search over documents
+
+_TOKENS = "list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND strlen(t) <= 40)"
+
+
+def _search(spark: SparkSession, sf_dir: str) -> TextSearch:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return TextSearch(spark, docs.select(F.concat(F.lit(f"<{BASE}g/documents/"), F.col("source"), F.lit(">")).alias("g"), F.concat(F.lit(f"<{BASE}documents/"), F.col("doc_id").cast("string"), F.lit(">")).alias("s"), "text"))
+
+
+def _bm25(words: list[str], where: str = "true", prefix: bool = True) -> str:
+    tf = ", ".join(f"len(list_filter(tokens, lambda t: t = '{w}')) AS tf{i}" for i, w in enumerate(words))
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(words)))
+    hit = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
+    longer = " OR ".join(f"len(list_filter(tokens, lambda t: starts_with(t, '{w}'))) > 0" for w in words if len(w) >= 3) or "false"
+    return f"""WITH a AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents WHERE {where}),
+ b AS (SELECT doc_id, len(tokens) AS dl, {tf}, ({longer}) AS pre FROM a),
+ c AS (SELECT count(*) AS n, avg(dl) AS av, {", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))} FROM b)
+ SELECT doc_id, round({score}, 6) AS score FROM b, c WHERE {hit}{" OR pre" if prefix else ""}"""
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select(F.regexp_extract("s", r"/(\d+)>$", 1).cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+frame("t4_bm25", lambda s, d: _hits(_search(s, d).ranked("theatre AND nation password", None, prefixes=False)), _bm25(["theatre", "nation", "password"], prefix=False))
+frame("t5_prefixes", lambda s, d: _hits(_search(s, d).ranked("passw secr", None)), _bm25(["passw", "secr"]))
+frame("t10_graph_scoped", lambda s, d: _hits(_search(s, d).ranked("token", None, s.createDataFrame([(f"<{BASE}g/documents/src3>",)], "g string"))), _bm25(["token"], "source = 'src3'"))
+frame("t7_complete", lambda s, d: _search(s, d).complete("password license").select(F.regexp_extract("s", r"/(\d+)>$", 1).cast("long").alias("doc_id")), f"SELECT doc_id FROM documents WHERE list_has_any({_TOKENS}, ['password', 'license'])")
+frame("t9_search_service", lambda s, d: engine(s, d, ["documents"], search=_search(s, d)).query(PREFIX + 'SELECT ?s ?lang WHERE { SERVICE <urn:quadsmith:fts> { ?s fts:query "password" ; fts:complete true } ?s d:lang ?lang }').typed(s="key", lang="string"), f"SELECT doc_id AS s, lang FROM documents WHERE list_contains({_TOKENS}, 'password')")
+frame("t9_ranked_service", lambda s, d: engine(s, d, ["documents"], search=_search(s, d)).query(PREFIX + 'SELECT ?s ?score WHERE { SERVICE <urn:quadsmith:fts> { ?s fts:query "password" ; fts:limit 10000 ; fts:score ?score } FILTER(?score > 0) }').typed(s="key", score="double").select("s", F.round("score", 6).alias("score")), _bm25(["password"], prefix=False).replace("SELECT doc_id, round", "SELECT doc_id AS s, round").replace("a AS (SELECT doc_id AS s, ", "a AS (SELECT doc_id, "))
+frame("t1_postings", lambda s, d: _search(s, d).postings().groupBy("term").agg(F.count("s").alias("df"), F.sum("tf").alias("cf")).where("df > 50"), f"SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) > 50")
+
+# --- validation: suppliers must have a balance of 0 to 9000 and a known nation
+
+_SHAPES = f"""<urn:sh:S> <{shacl.SH}targetClass> <{TYPE}supplier>
+<urn:sh:S> <{shacl.SH}property> _:b
+<urn:sh:S> <{shacl.SH}property> _:n
+<urn:sh:S> <{shacl.SH}property> _:m
+_:b <{shacl.SH}path> <{BASE}supplier#s_acctbal>
+_:b <{shacl.SH}minInclusive> "0"^^<{T.XSD}integer>
+_:b <{shacl.SH}maxInclusive> "9000"^^<{T.XSD}integer>
+_:b <{shacl.SH}datatype> <{T.XSD}double>
+_:n <{shacl.SH}path> <{BASE}supplier#s_nationkey>
+_:n <{shacl.SH}class> <{TYPE}nation>
+_:n <{shacl.SH}node> <urn:sh:N>
+<urn:sh:N> <{shacl.SH}property> _:r
+_:r <{shacl.SH}path> <{BASE}nation#n_regionkey>
+_:r <{shacl.SH}in> _:l
+_:l <{T.RDF}first> <{BASE}region/0>
+_:l <{T.RDF}rest> _:l2
+_:l2 <{T.RDF}first> <{BASE}region/1>
+_:l2 <{T.RDF}rest> <{T.RDF}nil>
+_:m <{shacl.SH}path> <{BASE}supplier#s_name>
+_:m <{shacl.SH}minCount> "1"^^<{T.XSD}integer>
+_:m <{shacl.SH}maxLength> "17"^^<{T.XSD}integer>
+_:m <{shacl.SH}pattern> "[13579]$\""""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = shacl.Shapes([tuple(line.split(" ", 2)) for line in _SHAPES.split("\n")])
+    quads = tpch(spark, sf_dir, ["supplier", "nation"]).scan(None)
+    report = shacl.Validator(spark, quads, shapes).report()
+    return report.select(F.regexp_extract("focus", r"/(\d+)>$", 1).cast("long").alias("focus"), "component")
+
+
+frame("v15_shacl_report", _report, """SELECT s_suppkey AS focus, 'minInclusive' AS component FROM supplier WHERE s_acctbal < 0
+ UNION ALL SELECT s_suppkey, 'maxInclusive' FROM supplier WHERE s_acctbal > 9000
+ UNION ALL SELECT s_suppkey, 'node' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey > 1
+ UNION ALL SELECT s_suppkey, 'maxLength' FROM supplier WHERE length(s_name) > 17
+ UNION ALL SELECT s_suppkey, 'pattern' FROM supplier WHERE NOT regexp_matches(s_name, '[13579]$')""")
+
+# --- merging: events as operations of their users; an error removes what its user had added under the same key before
+
+
+def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.withColumn("counter", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    actor = F.col("user_id").cast("string")
+    return e.select(
+        actor.alias("actor"),
+        "counter",
+        F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("kind"),
+        F.concat(F.lit("<urn:u:"), (F.col("user_id") % 8).cast("string"), F.lit(">")).alias("g"),
+        F.concat(F.lit("<urn:k:"), F.get_json_object("props", "$.k"), F.lit(">")).alias("s"),
+        F.lit("<urn:p>").alias("p"),
+        F.concat(F.lit('"'), F.when(F.col("event_type") == "error", "click").otherwise(F.col("event_type")), F.lit('"')).alias("o"),
+        F.create_map(actor, F.col("counter") - 1).alias("witnessed"),
+        F.col("event_id").alias("id"),
+        F.col("ts").alias("at"),
+    )
+
+
+_OPS = "WITH op AS (SELECT user_id::VARCHAR AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS counter, event_type = 'error' AS gone, '<urn:u:' || user_id % 8 || '>' AS g, '<urn:k:' || (props->>'$.k') || '>' AS s, '\"' || CASE event_type WHEN 'error' THEN 'click' ELSE event_type END || '\"' AS o FROM events), dot AS (SELECT g, s, o, actor, counter FROM op a WHERE NOT gone AND NOT EXISTS (SELECT 1 FROM op r WHERE r.gone AND r.g = a.g AND r.s = a.s AND r.o = a.o AND r.actor = a.actor AND r.counter > a.counter))"
+frame("r2_dots", lambda s, d: merge.dots(_ops(s, d)).select("g", "s", "o", "actor", "counter"), f"{_OPS} SELECT g, s, o, actor, counter FROM dot")
+frame("r3_live_view", lambda s, d: merge.live(merge.dots(_ops(s, d))).select("g", "s", "o"), f"{_OPS} SELECT DISTINCT g, s, o FROM dot")
+frame("r6_replay", lambda s, d: merge.live(merge.dots(_ops(s, d).unionByName(_ops(s, d)))).groupBy("g").count().select("g", F.col("count").alias("n")), f"{_OPS} SELECT g, count(DISTINCT (s, o)) AS n FROM dot GROUP BY 1")
+frame("r4_merged_clock", lambda s, d: merge.merge_clocks(merge.clock(_ops(s, d).where("counter < 20")), merge.clock(_ops(s, d))), f"{_OPS} SELECT g, actor, max(counter) AS counter FROM op GROUP BY 1, 2")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One replica has the first 40 operations of each actor, the other all of the even actors."""
+    ops = _ops(spark, sf_dir)
+    a, b = ops.where("counter <= 40"), ops.where("CAST(actor AS long) % 2 = 0")
+    return merge.merge(merge.dots(a), merge.clock(a), merge.dots(b), merge.clock(b)).select("g", "s", "o", "actor", "counter")
+
+
+frame("r4_snapshot_join", _merged, _OPS.replace("FROM events)", "FROM events), part AS (SELECT * FROM op WHERE counter <= 40 OR actor::BIGINT % 2 = 0)").replace("FROM op a", "FROM part a").replace("FROM op r", "FROM part r") + " SELECT g, s, o, actor, counter FROM dot")
+frame("r5_missing_dots", lambda s, d: merge.missing(_ops(s, d).where("counter % 10 = 0").select("g", F.col("id").alias("batch"), F.col("witnessed").alias("base")), merge.clock(_ops(s, d).where("counter <= 25"))).select("g", "batch", "actor", "from", "to"), 'WITH op AS (SELECT event_id AS batch, user_id::VARCHAR AS actor, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS counter, \'<urn:u:\' || user_id % 8 || \'>\' AS g FROM events), seen AS (SELECT actor, max(counter) AS have FROM op WHERE counter <= 25 GROUP BY 1) SELECT g, batch, actor, have + 1 AS "from", counter - 1 AS "to" FROM op JOIN seen USING (actor) WHERE counter % 10 = 0 AND counter - 1 > have')
+frame("r7_policy_register", lambda s, d: merge.register(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("g"), F.col("event_type").alias("value"), F.struct("ts", "event_id").alias("tag"))).select("g", "value"), "SELECT user_id AS g, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY 1")
+frame("r8_tombstones", lambda s, d: merge.live(merge.without_deleted(merge.dots(_ops(s, d)), s.createDataFrame([("<urn:u:3>",)], "g string"))).groupBy("g").count().select("g", F.col("count").alias("n")), f"{_OPS} SELECT g, count(DISTINCT (s, o)) AS n FROM dot WHERE g <> '<urn:u:3>' GROUP BY 1")
+frame("r14_history_compare", lambda s, d: merge.compare(merge.live(merge.dots(_ops(s, d).where("counter <= 30"))), merge.live(merge.dots(_ops(s, d)))).select("op", "g", "s", "o"), _OPS.replace("dot AS", "old AS (SELECT DISTINCT g, s, o FROM op a WHERE NOT gone AND counter <= 30 AND NOT EXISTS (SELECT 1 FROM op r WHERE r.gone AND r.counter <= 30 AND r.g = a.g AND r.s = a.s AND r.o = a.o AND r.actor = a.actor AND r.counter > a.counter)), dot AS") + ", new AS (SELECT DISTINCT g, s, o FROM dot) SELECT 'delete' AS op, * FROM (FROM old EXCEPT FROM new) UNION ALL SELECT 'insert', * FROM (FROM new EXCEPT FROM old)")
+
+# --- structural rules: conversations as packages of their turns
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each conversation; turns are chained by hasPart, but one in seven turns is not linked."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role").distinct()
+    root = F.concat(F.lit("<urn:c:"), F.col("conv_id").cast("string"), F.lit(">"))
+    node = lambda t: F.when(t < 0, root).otherwise(F.concat(F.lit("<urn:c:"), F.col("conv_id").cast("string"), F.lit("/"), t.cast("string"), F.lit(">")))
+    turn = F.col("turn")
+    part = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    rows = [part(root, T.RDF_TYPE, F.lit(rules.DATASET)), part(node(turn), T.RDF_TYPE, F.lit(rules.MEDIA)), part(root, rules.REQUIRED[0], F.lit('"c"')), F.when(turn % 7 != 5, part(node(turn - 1), rules.HAS_PART, node(turn)))]
+    return c.select(root.alias("g"), F.explode(F.array(*rows)).alias("q")).where("q IS NOT NULL").select("g", "q.s", "q.p", "q.o").distinct()
+
+
+_TURNS = "WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations)"
+frame("c6_orphans", lambda s, d: rules.orphans(_packages(s, d)), f"{_TURNS} SELECT '<urn:c:' || conv_id || '>' AS g, '<urn:c:' || conv_id || '/' || turn || '>' AS entity FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND b.turn % 7 = 5) OR (SELECT count(*) FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn) <> turn + 1")
+frame("c1_rules", lambda s, d: rules.violations(_packages(s, d)).where("rule <> 'orphan'").groupBy("rule").count().select("rule", F.col("count").alias("n")), "SELECT rule, (SELECT count(DISTINCT conv_id) FROM conversations) AS n FROM (VALUES ('descriptor-type'), ('descriptor-about'), ('required-description'), ('required-datePublished')) v(rule)")
+frame("x3_orphans_hidden", lambda s, d: Engine(s, QuadTable(_packages(s, d)), hidden=rules.orphans(_packages(s, d))).query(f"SELECT (COUNT(*) AS ?n) WHERE {{ GRAPH ?g {{ ?x a {rules.MEDIA} }} }}").typed(n="long"), f"{_TURNS} SELECT count(*) AS n FROM t a WHERE NOT (EXISTS (SELECT 1 FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND b.turn % 7 = 5) OR (SELECT count(*) FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn) <> turn + 1)")

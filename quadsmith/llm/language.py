@@ -73,16 +73,18 @@ class CrossParser:
         tables, self.roots, base = [], [], 0
         for language in self.languages:
             nexts = suffix_automaton(folded[language])
-            root = np.full(self.width, base * self.width, np.int64)
+            unknown = base + len(nexts)  # after a symbol in no text, which is a phrase by itself
+            root = np.full(self.width, unknown * self.width, np.int64)
             for c, t in nexts[0].items():
                 root[int(np.searchsorted(symbols, c)) + 1] = (base + t) * self.width
-            table = np.tile(~root, (len(nexts), 1))
+            table = np.tile(~root, (len(nexts) + 1, 1))
+            table[0] = root
             rows = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
             cols = np.searchsorted(symbols, np.array([c for x in nexts for c in x], np.int64)) + 1
             table[rows, cols] = (np.array([t for x in nexts for t in x.values()], np.int64) + base) * self.width
             tables.append(table.ravel().astype(np.int32))
             self.roots.append(base * self.width)
-            base += len(nexts)
+            base += len(nexts) + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:

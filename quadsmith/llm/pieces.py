@@ -9,8 +9,8 @@ higher-order `aggregate` folds each unit's edges into its pieces:
 - BPE models: the model's own rule isn't a best path, so a Viterbi fold can't give the model's results. The same lattice
   is folded by merges: the state is the list of symbols, and each step joins the best-scored pair that is an edge.
 
-A character in no piece becomes its UTF-8 bytes' pieces. Frequent units (at most `HEAD`, found in the first
-`HEAD_ROWS` rows; the choice changes nothing but the time) are encoded once and broadcast; all others are shuffled by
+A character in no piece becomes its UTF-8 bytes' pieces. Frequent units (at most `HEAD`, of `HEAD_CHARS`
+characters at most, found in one of `HEAD_SHARE` texts; the choice changes nothing but the time) are encoded once and broadcast; all others are shuffled by
 unit, encoded once each where they meet, and joined back there.
 """
 
@@ -23,8 +23,8 @@ from .common import TOKENIZERS, tokenizer_file, written
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-HEAD = 65_536
-HEAD_ROWS = 4096
+HEAD = 200_000
+HEAD_SHARE = 16
 HEAD_CHARS = 32
 
 
@@ -135,16 +135,19 @@ def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
 
 
 def encoded_units(rows: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(rid, doc_id, text) -> (rid, doc_id, pos, ids, whole) for every unit; a text without units has one row without ids."""
-    each = rows.select("rid", "doc_id", F.posexplode_outer(units_of(F.col("text"))).alias("pos", "unit"))
-    sample = rows.limit(HEAD_ROWS).select(F.explode(units_of(F.col("text"))).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
+    """(rid, doc_id, text) -> (rid, doc_id, pos, ids, whole) for every unit, and a row without pos for every text; doc_id is null in some."""
+    each = rows.select("rid", F.posexplode(units_of(F.col("text"))).alias("pos", "unit"))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"))).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
     common = sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD).select("unit")
-    head = written(encode_units(common, pieces))
+    head = written(encode_units(common.repartition("unit"), pieces))
     known = each.join(F.broadcast(head), "unit", "left")
-    easy = known.where("unit IS NULL OR ids IS NOT NULL").select("rid", "doc_id", "pos", "ids", "whole")
-    rest = known.where("unit IS NOT NULL AND ids IS NULL").select("unit", "rid", "doc_id", "pos").repartition("unit")
-    hard = rest.join(encode_units(rest.select("unit").distinct(), pieces).hint("shuffle_hash"), "unit").select("rid", "doc_id", "pos", "ids", "whole")
-    return easy.unionByName(hard)
+    easy = known.where("ids IS NOT NULL").select("rid", "pos", "ids", "whole")
+    rest = known.where("ids IS NULL").select("unit", "rid", "pos").repartition("unit")
+    # all columns of rest are read, so that both sides of the join share one exchange
+    different = rest.groupBy("unit").agg(F.max("rid").alias("r"), F.max("pos").alias("p")).where("r >= 0 AND p >= 0").select("unit")
+    hard = rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("rid", "pos", "ids", "whole")
+    ends = rows.select("rid", "doc_id")
+    return ends.unionByName(easy.unionByName(hard), allowMissingColumns=True)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -157,8 +160,8 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) ->
     Null and empty texts have no ids; repeated rows and null ids keep a row each; other columns are not read.
     """
     units = encoded_units(_numbered(docs), PieceTable(tokenizer_file(model, tokenizers)))
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]))
-    return units.groupBy("rid", "doc_id").agg(F.coalesce(whole, F.array().cast("array<int>")).alias("ids")).select("doc_id", "ids")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))), lambda x: x["ids"]))
+    return units.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.coalesce(whole, F.array().cast("array<int>")).alias("ids")).select("doc_id", "ids")
 
 
 def decode(rows: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL, id_col: str = "doc_id") -> DataFrame:
@@ -181,7 +184,8 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     Null and empty texts have no units and hash 0.
     """
     units = encoded_units(_numbered(docs), PieceTable(tokenizer_file(model, tokenizers)))
-    summed = units.groupBy("rid", "doc_id").agg(
+    summed = units.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"),
         F.count("pos").alias("n_units"),
         F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long")), F.lit(0)).alias("n_pieces"),
         F.coalesce(F.bit_xor(F.when(F.col("pos").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_hash"),

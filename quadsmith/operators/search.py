@@ -17,6 +17,7 @@ from ..functions import terms as T
 from ..plans import algebra as A
 from ..plans.compiler import Rel, col_of
 from ..plans.parser import SparqlError
+from ..session import written
 
 PREDICATES = [f"<{scheme}://schema.org/{name}>" for scheme in ("http", "https") for name in ("name", "description", "keywords", "identifier")]
 K1, B = 1.2, 0.75
@@ -75,7 +76,7 @@ class TextSearch:
         words = words_of(query)
         if not words or limit == 0:
             return self.spark.createDataFrame([], "g string, s string, score double")
-        rows = self._counted(words, graphs)
+        rows = written(self._counted(words, graphs))  # read twice: for the statistics and for the scores
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
         if not stats["n"]:
             return self.spark.createDataFrame([], "g string, s string, score double")

@@ -34,7 +34,7 @@ TARGET = 0.99
 NEAR_BITS = 34
 DENSE = 3000
 STEP = 6
-HUB = 512
+HUB = 256
 _U = np.uint64
 _LANES = np.array([sum((b >> (7 - k) & 1) << (8 * k) for k in range(8)) for b in range(256)], _U)  # a byte's bits, a byte each
 _ORDERS = [np.random.default_rng(7000 + t).permutation(128) for t in range(256)]
@@ -152,8 +152,8 @@ def _groups(reps: DataFrame, trees: int, depth: int, dense: int) -> DataFrame:
 def near_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (later, earlier) of one group, in order of rid. Without labels: each with its earliest candidate; with: all in two classes."""
     later, earlier = [], []
-    for at in range(1, len(sig), 1024):
-        rows = np.arange(at, min(at + 1024, len(sig)))
+    for at in range(1, len(sig), 256):
+        rows = np.arange(at, min(at + 256, len(sig)))
         cols = slice(0, int(rows[-1]))
         near = np.bitwise_count(sig[rows, None, 0] ^ sig[None, cols, 0]).astype(np.int16)
         near += np.bitwise_count(sig[rows, None, 1] ^ sig[None, cols, 1])
@@ -199,7 +199,7 @@ def _candidates(groups: DataFrame, similarity: float, labelled: bool) -> DataFra
     # groups travel together by the first bits of their prefix, a bounded number of signatures each
     slim = groups.select("tree", "level", "grp", "rid", "n", "s1", "s2", *(["label"] if labelled else []), F.expr("pmod(xxhash64(tree, level, grp), 1 << 30)").alias("mixed"))
     total = groups.count()
-    bucket = F.pmod("mixed", F.lit(1 + total // 40_000))
+    bucket = F.pmod("mixed", F.lit(1 + total // 20_000))
     return slim.withColumn("bucket", bucket).drop("mixed").groupBy("tree", "bucket").applyInArrow(lambda rows: run(rows), "a long, b long").distinct()
 
 

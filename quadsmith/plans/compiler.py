@@ -665,7 +665,7 @@ class Compiler:
                 return cols, Ex("num", c(name).cast("double"), c(name).cast(T.DECIMAL) if exact_only else None, n.rank)
             exact_total = (F.sum_distinct if a.distinct else F.sum)(n.exact)
             count = F.count_distinct(x.term()) if a.distinct else every
-            cols = [F.when(good == every, F.coalesce(total, F.lit(0.0))).alias(name), F.coalesce(exact_total, F.lit(0).cast(T.DECIMAL)).alias(f"{name}_e"), F.coalesce(F.max(n.rank), F.lit(0)).alias(f"{name}_r"), count.alias(f"{name}_n")]
+            cols = [F.when(good == every, F.coalesce(total, F.lit(0.0))).alias(name), F.when(good == every, F.coalesce(exact_total, F.lit(0).cast(T.DECIMAL))).alias(f"{name}_e"), F.coalesce(F.max(n.rank), F.lit(0)).alias(f"{name}_r"), count.alias(f"{name}_n")]
             value, exact, r = c(name), c(f"{name}_e").cast(T.DECIMAL), c(f"{name}_r")
             if a.name == "AVG":
                 value, exact, r = F.coalesce(F.try_divide(value, c(f"{name}_n")), value), F.coalesce(F.try_divide(exact, c(f"{name}_n")).cast(T.DECIMAL), exact), F.greatest(r, F.lit(1))

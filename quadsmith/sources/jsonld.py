@@ -63,7 +63,9 @@ def expand(document: str, graph: str) -> list[tuple[str, str, str]]:
             return name
         if name in (".", "./"):
             return graph
-        return f"<{name if ':' in name.split('/')[0] else urljoin(base, name)}>"
+        if ":" in name.split("/")[0]:
+            return f"<{name}>"
+        return f"<{urljoin(base, name) if base.startswith(('http:', 'https:')) else base + name.removeprefix('./')}>"
 
     def key_iri(key: str, terms: dict, vocab: str | None) -> str | None:
         found = terms.get(key)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import merge
@@ -79,11 +79,15 @@ class OpLog:
         bad = ops.where(~F.coalesce(good, F.lit(False)))
         todo = self.pending.unionByName(ops.where(good)).dropDuplicates(["g", "actor", "counter"])
         clock, dots, removed = self.clock, self.dots, self.removed
-        todo = todo.join(clock.withColumnRenamed("counter", "have"), ["g", "actor"], "left").where("have IS NULL OR counter > have").drop("have")
+        todo = todo.join(clock.withColumnRenamed("counter", "have"), ["g", "actor"], "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("counter > have")
+        order = Window.partitionBy("g", "actor").orderBy("counter")
+        todo = todo.withColumn("gap", F.col("counter") > F.col("have") + F.row_number().over(order)).drop("have")
         named = todo.select("g", "actor", "counter", F.explode(F.coalesce("witnessed", F.create_map().cast("map<string,long>"))).alias("cause", "need")).where("cause <> actor")
         lacking = named.join(clock.select("g", F.col("actor").alias("cause"), F.col("counter").alias("have")), ["g", "cause"], "left").where("need > coalesce(have, 0)")
         arrived = todo.select("g", F.col("actor").alias("cause"), F.col("counter").alias("got"))
         lacking = lacking.join(arrived.groupBy("g", "cause").agg(F.max("got").alias("got")), ["g", "cause"], "left").where("need > coalesce(got, 0)").select("g", "actor", F.col("counter").alias("stuck"))
+        lacking = lacking.unionByName(todo.where("gap").select("g", "actor", F.col("counter").alias("stuck")))
+        todo = todo.drop("gap")
         first = lacking.groupBy("g", "actor").agg(F.min("stuck").alias("stuck"))  # an author's later operations wait too
         split = todo.join(first, ["g", "actor"], "left")
         waits = split.where("counter >= stuck").drop("stuck")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import text_slices
-from .common import map_batches, shared_dir, trim
+from .common import map_batches, release, shared_dir, trim
 
 BATCH_BYTES = 2 << 20
 ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
@@ -40,6 +40,7 @@ def freeze(df: DataFrame, text_col: str = "text", size: int = BATCH_BYTES) -> Da
         return sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         number = TaskContext.get().partitionId() << ROW_BITS
         held: list[pa.RecordBatch] = []
         have = 0

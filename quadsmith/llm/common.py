@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, shared_dir, written
 
-__all__ = ["checkpoint_dir", "map_batches", "shared_dir", "table", "tokenizer_file", "trim", "written"]
+__all__ = ["KEPT", "checkpoint_dir", "map_batches", "release", "shared_dir", "table", "tokenizer_file", "trim", "written"]
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -26,12 +26,25 @@ def trim() -> None:
         pass
 
 
+#: What a worker process keeps from task to task, by the kind of task.
+KEPT: dict[str, object] = {}
+
+
+def release(kind: str | None = None) -> None:
+    """Forget what tasks of other kinds kept in this worker, which may serve any task."""
+    gone = [k for k in KEPT if k != kind]
+    for k in gone:
+        del KEPT[k]
+    if gone:
+        trim()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """One of the corpus tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, kind: str | None = None) -> DataFrame:
     """mapInArrow where fn turns one batch into one dict, or several dicts, of column values (arrays or lists)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -39,6 +52,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(kind)
         for batch in batches:
             made = fn(batch)
             for part in [made] if isinstance(made, dict) else made:

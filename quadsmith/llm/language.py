@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import ragged, text_slices
-from .common import map_batches
+from .common import map_batches, release
 
 SAMPLE_ROWS = 48
 SAMPLE_BYTES = 24_000
@@ -180,6 +180,7 @@ def recognised(docs: DataFrame, parser: CrossParser, text_col: str = "text", lan
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
+        release()
         for batch in batches:
             names, _ = predict(shared.value, batch.column(text_at))
             found = pa.array(names, pa.string())

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import text_slices
 from .common import TOKENIZERS, map_batches, tokenizer_file, written
-from .tokens import WORD_BPE, tokenizer
+from .tokens import KIND, WORD_BPE, tokenizer
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
@@ -217,7 +217,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZE
             yield {"doc_id": batch.column(0).slice(a, b - a).take(pa.array(owner)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
     columns = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return map_batches(columns, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(columns, run, "doc_id long, piece int, start long, length long, ids_crc32 long", KIND)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZERS, **how: int) -> DataFrame:

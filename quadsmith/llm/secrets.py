@@ -20,7 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import map_batches, release
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.ASCII)
@@ -202,6 +202,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             new = [redact(t, spans) if (spans := secret_spans(t)[1]) else t for t in texts]

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import ragged, text_slices
-from .common import TOKENIZERS, map_batches, shared_dir, tokenizer_file, written
+from .common import KEPT, TOKENIZERS, map_batches, release, shared_dir, tokenizer_file, written
 
 WORD_BPE = "word_bpe_49k.json"
 END_OF_TEXT = 49407
 BLOCK_TOKENS = 1 << 22
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)$")
-_KEPT: dict[tuple[str, bool], "WordTokenizer"] = {}
+KIND = "tokens"
 
 
 class WordTokenizer:
@@ -121,10 +121,11 @@ class WordTokenizer:
 
 
 def tokenizer(path: str, special: bool = True) -> WordTokenizer:
-    """The worker's own tokenizer, kept between batches and tasks."""
-    if (path, special) not in _KEPT:
-        _KEPT[path, special] = WordTokenizer(path, special)
-    return _KEPT[path, special]
+    """The worker's own tokenizer, kept between batches and between tasks of this kind."""
+    have = KEPT.get(KIND)
+    if have is None or have[0] != (path, special):
+        have = KEPT[KIND] = ((path, special), WordTokenizer(path, special))
+    return have[1]
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, separator: int = END_OF_TEXT) -> DataFrame:
@@ -138,6 +139,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, separ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        release(KIND)
         tok = tokenizer(path, special=False)
         store, place = fs.FileSystem.from_uri(folder)
         store.create_dir(place)

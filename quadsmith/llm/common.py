@@ -35,8 +35,7 @@ def release(kind: str | None = None) -> None:
     gone = [k for k in KEPT if k != kind]
     for k in gone:
         del KEPT[k]
-    if gone:
-        trim()
+    trim()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

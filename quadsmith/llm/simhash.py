@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .anchors import Words
 from .arrays import mix, ragged, window_hashes
 from .batches import ROW_BITS, Store, each, freeze
-from .common import map_batches, written
+from .common import map_batches, trim, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -194,6 +194,7 @@ def _candidates(groups: DataFrame, similarity: float, labelled: bool) -> DataFra
                 a.append(rid[s][y])
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        trim()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     # groups travel together by the first bits of their prefix, a bounded number of signatures each

@@ -3,12 +3,13 @@
 Every distinct set of five-word shingles gets a 128-bit SimHash. A forest of `TREES` tries, each over its own random
 order of the bits, brings similar signatures under one prefix. Two sets of Jaccard similarity 0.8 differ in a bit with
 probability acos(0.889) / pi = 0.15, so climbing to prefixes of `depth_for(TARGET)` bits finds such a pair in some tree
-with probability `TARGET`. Where a prefix holds more than `DENSE` signatures its trie is descended six bits at a time
-until it holds no more; the first signatures of the (at most 64) children are compared too, so that dense families
-hold together. Candidates within `NEAR_BITS` bits and of fitting sizes are verified on the whole shingle sets.
+with probability `TARGET`. Candidates within `NEAR_BITS` bits and of fitting sizes are verified on the whole shingle sets.
 
 Not all pairs of a family are verified. First each signature is verified against the earliest candidate under its
-prefix; then, with the classes that gives, every candidate pair that still stands in two classes. So a link between two
+prefix; where a prefix holds more than `DENSE` signatures, only this first pass descends its trie six bits at a time
+until it holds no more, with the first signatures of the (at most 64) children compared too. Then, with the classes that
+gives, every candidate pair under a common prefix that still stands in two classes: a prefix of more than `DENSE`
+signatures is dealt into blocks, and all pairs of blocks are compared, each by a task's group. So a link between two
 texts counts whether or not it was needed, and copies are never paired with each other.
 """
 
@@ -149,26 +150,54 @@ def _groups(reps: DataFrame, trees: int, depth: int, dense: int) -> DataFrame:
         level += STEP
 
 
-def near_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of one group, in order of rid. Without labels: each with its earliest candidate; with: all in two classes."""
+def _blocks(reps: DataFrame, trees: int, depth: int, dense: int) -> DataFrame:
+    """Planted labelled rows with the groups they are compared in: a prefix (level 0) or, where it is dense, every pair of
+    its blocks, numbered by level; side 1 is the pair's second block. Dense prefixes of one class are left out."""
+    at = _planted(reps, trees).withColumn("grp", F.shiftright("prefix", 60 - depth))
+    counts = at.groupBy("tree", "grp").agg(F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("open")).where(F.col("size") > dense)
+    counts = written(counts.select("tree", "grp", "open", F.ceil(F.col("size") / dense).cast("long").alias("k")))
+    if counts.isEmpty():
+        return at.withColumns({"level": F.lit(0).cast("long"), "side": F.lit(0)})
+    sparse = at.join(counts, ["tree", "grp"], "left_anti").withColumns({"level": F.lit(0).cast("long"), "side": F.lit(0)})
+    rows = at.join(counts.where("open"), ["tree", "grp"]).withColumn("block", F.pmod(F.xxhash64("rid"), "k"))
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    level = 1 + F.least("block", "other") * F.col("k") + F.greatest("block", "other")
+    pairs = pairs.withColumns({"level": level, "side": (F.col("block") > F.col("other")).cast("int")})
+    return sparse.unionByName(pairs.drop("k", "open", "block", "other"))
+
+
+def near_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray | None, similarity: float, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of one group, in order of rid. Without labels: each with its earliest candidate; with: all in two classes.
+
+    With `split`, only those from there on are compared with those before it.
+    """
     later, earlier = [], []
-    for at in range(1, len(sig), 256):
-        rows = np.arange(at, min(at + 256, len(sig)))
-        cols = slice(0, int(rows[-1]))
-        near = np.bitwise_count(sig[rows, None, 0] ^ sig[None, cols, 0]).astype(np.int16)
-        near += np.bitwise_count(sig[rows, None, 1] ^ sig[None, cols, 1])
-        ok = near <= NEAR_BITS
-        x, y = np.nonzero(ok)
-        small, large = np.minimum(n[rows[x]], n[y]), np.maximum(n[rows[x]], n[y])
-        fits = (y < rows[x]) & (small >= similarity * large - 1e-9)
-        if label is not None:
-            fits &= label[rows[x]] != label[y]
-        x, y = x[fits], y[fits]
-        if label is None and len(x):
-            first = np.append(True, x[1:] != x[:-1])  # nonzero goes row by row
-            x, y = x[first], y[first]
-        later.append(rows[x])
-        earlier.append(y)
+    every = np.arange(len(sig))
+    jobs = [(every[max(split, 1) :], every[: split or len(sig)])]
+    if label is not None and len(sig) > 256:  # the largest class isn't compared with itself
+        values, counts = np.unique(label, return_counts=True)
+        main = label == values[np.argmax(counts)]
+        rest, against = jobs[0]
+        jobs = [(rest[main[rest]], against[~main[against]]), (rest[~main[rest]], against)]
+    for rest, against in jobs:
+        for at in range(0, len(rest), 256):
+            rows = rest[at : at + 256]
+            cols = against[: np.searchsorted(against, rows[-1])]
+            near = np.bitwise_count(sig[rows, None, 0] ^ sig[None, cols, 0]).astype(np.int16)
+            near += np.bitwise_count(sig[rows, None, 1] ^ sig[None, cols, 1])
+            ok = near <= NEAR_BITS
+            x, y = np.nonzero(ok)
+            y = cols[y]
+            small, large = np.minimum(n[rows[x]], n[y]), np.maximum(n[rows[x]], n[y])
+            fits = (y < rows[x]) & (small >= similarity * large - 1e-9)
+            if label is not None:
+                fits &= label[rows[x]] != label[y]
+            x, y = x[fits], y[fits]
+            if label is None and len(x):
+                first = np.append(True, x[1:] != x[:-1])  # nonzero goes row by row
+                x, y = x[first], y[first]
+            later.append(rows[x])
+            earlier.append(y)
     join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
     return join(later), join(earlier)
 
@@ -179,8 +208,9 @@ def _candidates(groups: DataFrame, similarity: float, labelled: bool) -> DataFra
     def run(rows: pa.Table) -> pa.Table:
         get = lambda k: rows.column(k).to_numpy()
         rid, grp, level = get("rid"), get("grp"), get("level")
-        order = np.lexsort((rid, level, grp))
-        rid, grp, level = rid[order], grp[order], level[order]
+        side = get("side") if labelled else np.zeros(len(rid), np.int32)
+        order = np.lexsort((rid, side, level, grp))
+        rid, grp, level, side = rid[order], grp[order], level[order], side[order]
         sig = np.stack([get("s1")[order].view(_U), get("s2")[order].view(_U)], axis=1)
         n = get("n")[order]
         label = get("label")[order] if labelled else None
@@ -188,17 +218,18 @@ def _candidates(groups: DataFrame, similarity: float, labelled: bool) -> DataFra
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(np.diff(cut) > 1).tolist():
             s = slice(cut[i], cut[i + 1])
-            x, y = near_pairs(sig[s], n[s], label[s] if labelled else None, similarity)
+            x, y = near_pairs(sig[s], n[s], label[s] if labelled else None, similarity, int(np.count_nonzero(side[s] == 0)) if side[s][-1] else 0)
             if len(x):
                 b.append(rid[s][x])
                 a.append(rid[s][y])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        pairs = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1)
+        pairs = np.unique(pairs, axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         trim()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     # groups travel together by the first bits of their prefix, a bounded number of signatures each
-    slim = groups.select("tree", "level", "grp", "rid", "n", "s1", "s2", *(["label"] if labelled else []), F.expr("pmod(xxhash64(tree, level, grp), 1 << 30)").alias("mixed"))
+    slim = groups.select("tree", "level", "grp", "rid", "n", "s1", "s2", *(["label", "side"] if labelled else []), F.expr("pmod(xxhash64(tree, level, grp), 1 << 30)").alias("mixed"))
     total = groups.count()
     bucket = F.pmod("mixed", F.lit(1 + total // 20_000))
     return slim.withColumn("bucket", bucket).drop("mixed").groupBy("tree", "bucket").applyInArrow(lambda rows: run(rows), "a long, b long").distinct()
@@ -271,7 +302,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sim
     first = _verified(_candidates(_groups(slim, trees, depth, dense), similarity, False), frozen, text_at, similarity)
     found = written(components(first))
     labelled = written(slim.join(found, "rid", "left").withColumn("label", F.coalesce("label", "rid")))
-    second = _verified(_candidates(_groups(labelled, trees, depth, dense), similarity, True), frozen, text_at, similarity)
+    second = _verified(_candidates(_blocks(labelled, trees, depth, dense), similarity, True), frozen, text_at, similarity)
     final = written(components(first.unionByName(second)))
     sets = reps.select("d1", "d2", "n", "rid").join(final, "rid", "left").select("d1", "d2", "n", F.coalesce("label", "rid").alias("label"))
     return frozen, signed.join(sets, ["d1", "d2", "n"], "left").select("rid", "doc_id", F.coalesce("label", "rid").alias("label"))

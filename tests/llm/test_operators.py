@@ -118,6 +118,19 @@ def test_op7_is_brute_force(docs, dense):
     assert Counter(g for g in got if g[0] is not None) == want
 
 
+def test_op7_compares_all_of_a_dense_prefix(spark, tmp_path):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        words = prose(60, rng).split()
+        texts += [" ".join(words), " ".join(words[:30] + ["changed"] + words[31:])]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    family = spark.read.parquet(path)
+    sparse, dense = (rows_of(simhash.near_duplicates(family, trees=1, dense=n)) for n in (1000, 4))
+    assert dense == sparse and len({c for _, c in sparse}) < 90
+
+
 def test_one_of_each_class_stays(docs):
     kept = simhash.one_of_each(docs).collect()
     assert len(kept) == len(set(brute_classes())) and set(kept[0].asDict()) == set(docs.columns)

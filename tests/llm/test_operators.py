@@ -168,6 +168,17 @@ def test_op1_packs_everything_once(docs):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+def test_op1_ends_on_pieces_that_fill_no_bin(spark):
+    import threading
+
+    items = spark.createDataFrame([(i, 1500) for i in range(100)], "rid long, length int")
+    got = []
+    run = threading.Thread(target=lambda: got.extend(packing.pack_items(items, 2048, shard_items=20).collect()), daemon=True)
+    run.start()
+    run.join(120)
+    assert sorted(r["rid"] for r in got) == list(range(100)) and len({r["sequence_id"] for r in got}) == 100
+
+
 def test_op5_counts_tokens(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 

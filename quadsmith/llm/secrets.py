@@ -35,9 +35,9 @@ _WEAK = {"key", "auth", "authorization", "pass", "pin", "signature", "salt", "be
 _NAME_MARKS = tuple(x.encode() for x in ("passw", "passphrase", "secret", "token", "cred", "pwd", "key", "auth", "bearer"))
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|change.?me|example.*|placeholder.*|your[-_ ].*|todo|none|null|nil|true|false|undefined|redacted|test|dummy|<.*>|\$\{?.*\}?|%\(?.*|\{\{.*)$")
 _TOKEN = re.compile(
-    r"""(?P<tag><(?P<tagname>[A-Za-z_][\w.-]{1,60})>(?P<tagtext>[^<>\n]{1,300})</(?P=tagname)>)"""
-    r"""|(?P<flag>--?(?P<flagname>[A-Za-z][\w-]{2,60})[= ](?P<flagtext>[^\s"'`,;]{6,300}))"""
-    r"""|"(?P<dq>(?:[^"\\\n]|\\.){0,2000})"|'(?P<sq>(?:[^'\\\n]|\\.){0,2000})'|`(?P<bq>[^`\n]{0,2000})`"""
+    r"""(?P<tag><(?P<tagname>[A-Za-z_][\w.-]+)>(?P<tagtext>[^<>\n]+)</(?P=tagname)>)"""
+    r"""|(?P<flag>--?(?P<flagname>[A-Za-z][\w-]{2,}+)[= ](?P<flagtext>[^\s"'`,;]{6,}+))"""
+    r"""|"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`\n]*+)`"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*)"""
     r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+.,;(){}\[\]])|(?P<nl>\n)|(?P<bare>[^\s"'`,;(){}\[\]=:+.]+)""",
     re.ASCII,
@@ -111,7 +111,7 @@ def literal_spans(text: str) -> list[tuple[str, int, int, int]]:
                 i += 1
                 continue
             name = m["name"] or m["dq"] or m["sq"]
-            if not (name and kind in ("name", "dq", "sq")) or i + 2 >= len(tokens) or tokens[i + 1]["op"] not in _BINDS or len(name) > 80:
+            if not (name and kind in ("name", "dq", "sq")) or i + 2 >= len(tokens) or tokens[i + 1]["op"] not in _BINDS:
                 i += 1
                 continue
             parts, j, open_end = [], i + 2, False

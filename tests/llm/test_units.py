@@ -139,6 +139,17 @@ def test_secrets():
     assert secrets.secret_spans(None) == ([], []) and secrets.secret_spans("") == ([], [])
 
 
+def long_secret(n):
+    rng = random.Random(n)
+    return "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+
+
+def test_literals_are_taken_to_their_end():
+    value = long_secret(5000)
+    for text in (f"run --token {value} now", f"--auth-key={value}", f"<accessToken>{value}</accessToken>", f'my_secret = "{value} x"', f"my_secret = '{value} x'", f"my_secret = `{value} x`", f'{"long_" * 30}secret_x = "{value} x"'):
+        assert value not in (clean := secrets.redact(text, secrets.secret_spans(text)[1])) and value[-100:] not in clean and value[:100] not in clean
+
+
 def test_base_spans_are_the_patterns():
     import re
 

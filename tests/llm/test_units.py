@@ -150,6 +150,22 @@ def test_literals_are_taken_to_their_end():
         assert value not in (clean := secrets.redact(text, secrets.secret_spans(text)[1])) and value[-100:] not in clean and value[:100] not in clean
 
 
+def test_the_gate_refuses_nothing_that_scores():
+    rng = random.Random(8)
+    value = "xK9$mQ2!vL7p"
+    for text in (f'db_pass = "{value}"', f'cookie: "{value}"', f'user_pin = "{value}"', f'salt="{value}"', f'signature = "{value}"', f"-token {value}"):
+        assert value not in secrets.redact(text, secrets.secret_spans(text)[1])
+    words = sorted(secrets._STRONG | secrets._WEAK)
+    for _ in range(5000):
+        word = rng.choice(words)
+        name = "".join(rng.choice([c, c, c.upper()]) + rng.choice([""] * 12 + ["_", "-", ".", " ", "1", "é"]) for c in word)
+        name = rng.choice(["", "db", "DB", "my_", "x1"]) + rng.choice([name, word, word.upper(), word.title()]) + rng.choice(["", "s", "Id", "ID", "_x", "2"])
+        text = f'"{name}": "{value}"'
+        ungated = sorted(secrets.base_spans(text) + secrets.literal_spans(text), key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+        assert secrets.secret_spans(text)[1] == ungated
+        assert secrets._NAME_MARKS.search(name) or not secrets.name_weight(name)
+
+
 def test_base_spans_are_the_patterns():
     import re
 

@@ -2,8 +2,9 @@
 
 Fixed patterns (`assign`, `access`, `hex`) come first. Then statements are read as name-literal pairs: `name = expr`,
 `name: expr`, `"name": expr`, `name := expr`, `name => expr`, `<name>text</name>` and `--name value`. An expression
-is a chain of string literals, bare words and names joined by `+`, `.` or nothing; names bound earlier in the text are
-replaced by the literals they stand for (constant propagation), so a key built from parts, or assigned through another
+is a chain of string literals, bare words and names joined by `+`, `.` or (literals only) nothing; it goes on across
+newlines inside brackets and at an operator, and YAML values may stand on deeper lines below their name. Names bound
+earlier in the text are replaced by the literals they stand for (constant propagation), so a key built from parts, or assigned through another
 name, is found where its literals stand. A literal is scored by how sensitive its target's name is and how much it
 looks like a credential; those of at least `THRESHOLD` give spans of kind `literal`.
 
@@ -34,8 +35,9 @@ _STRONG = {"password", "passwd", "passphrase", "secret", "token", "apikey", "cre
 _WEAK = {"key", "auth", "authorization", "pass", "pin", "signature", "salt", "bearer", "cookie"}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|change.?me|example.*|placeholder.*|your[-_ ].*|todo|none|null|nil|true|false|undefined|redacted|test|dummy|<.*>|\$\{?.*\}?|%\(?.*|\{\{.*)$")
 _TOKEN = re.compile(
-    r"""(?P<tag><(?P<tagname>[A-Za-z_][\w.-]+)>(?P<tagtext>[^<>\n]+)</(?P=tagname)>)"""
+    r"""(?P<tag><(?P<tagname>[A-Za-z_][\w.-]+)>(?P<tagtext>[^<>]+)</(?P=tagname)>)"""
     r"""|(?P<flag>--?(?P<flagname>[A-Za-z][\w-]{2,}+)[= ](?P<flagtext>[^\s"'`,;]{6,}+))"""
+    r'|"""(?P<tdq>(?:[^"\\]|\\[\s\S]|"(?!""))*+)"""' r"|'''(?P<tsq>(?:[^'\\]|\\[\s\S]|'(?!''))*+)'''"
     r"""|"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`\n]*+)`"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*)"""
     r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+.,;(){}\[\]])|(?P<nl>\n)|(?P<bare>[^\s"'`,;(){}\[\]=:+.]+)""",
@@ -46,6 +48,14 @@ _NAME_MARKS = re.compile("|".join(
     [f"(?i:{_APART.join(w)})" for w in sorted(_STRONG)] + [f"(?:(?<![a-z]){w[0]}|{w[0].upper()}){w[1:]}(?![a-z])|(?<![A-Z]){w.upper()}(?![a-z])" for w in sorted(_WEAK)]
 ), re.ASCII)
 _BINDS = {"=", ":", ":=", "=>"}
+_QUOTED = ("dq", "sq", "bq", "tdq", "tsq")
+_IDLE = re.compile(r"""(?:(?:[^\n=:<"'-]++|"(?!"")|'(?!''))*+\n)*+""")  # lines in which no pair and no triple quote begins
+_MARGIN = re.compile(r"[^\S\n]*+")
+_LEADING = re.compile(r"\s*+([+.])(?=\s*+[\"'`A-Za-z_$(])")
+_BLOCK = re.compile(r"[|>][+-]?\d?")  # YAML's block scalars
+_MAPPING = re.compile(r"[\w.-]+=[^=\s]")
+_TRIPLE = re.compile(r'(?<=""")[\s\S]*?(?=""")' r"|(?<=''')[\s\S]*?(?=''')")
+_OPEN = re.compile(r"([^\n;, (]*+)(?:[^\S\n]*+(?=[\n;,]|\Z)|(?=\x20++(?:#|//)))")  # without spaces and calls
 _VALUE_END = re.compile(r"[\n;,]|\x20#|\x20//")
 
 
@@ -83,7 +93,7 @@ def literal_weight(value: str) -> float:
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int, int]]:
-    """Spans of literals that reach a sensitive name, by lexing the lines that bind one and all constants before them."""
+    """Spans of literals that reach a sensitive name, by lexing the text and keeping all constants bound so far."""
     found: set[tuple[int, int]] = set()
     known: dict[str, list[tuple[str, int, int]]] = {}
 
@@ -92,58 +102,115 @@ def literal_spans(text: str) -> list[tuple[str, int, int, int]]:
         if weight and parts and weight * literal_weight("".join(p[0] for p in parts)) >= THRESHOLD:
             found.update((s, e) for _, s, e in parts if e > s)
 
-    at, n = 0, len(text)
-    while at < n:
-        end = text.find("\n", at)
-        end = n if end < 0 else end
-        line_at, at = at, end + 1
-        line = text[line_at:end]
-        if "=" not in line and ":" not in line and "<" not in line and "-" not in line:
-            continue
-        tokens = [m for m in _TOKEN.finditer(line)]
-        i = 0
-        while i < len(tokens):
-            m = tokens[i]
-            kind = m.lastgroup
-            if m["tag"] is not None:
-                judge(m["tagname"], [(m["tagtext"], line_at + m.start("tagtext"), line_at + m.end("tagtext"))])
-                i += 1
-                continue
-            if m["flag"] is not None:
-                judge(m["flagname"], [(m["flagtext"], line_at + m.start("flagtext"), line_at + m.end("flagtext"))])
-                i += 1
-                continue
-            name = m["name"] or m["dq"] or m["sq"]
-            if not (name and kind in ("name", "dq", "sq")) or i + 2 >= len(tokens) or tokens[i + 1]["op"] not in _BINDS:
-                i += 1
-                continue
-            parts, j, open_end = [], i + 2, False
-            while j < len(tokens):
-                t = tokens[j]
-                for g in ("dq", "sq", "bq"):
-                    if t[g] is not None:
-                        parts.append((t[g], line_at + t.start(g), line_at + t.end(g)))
-                        break
-                else:
-                    if t["name"] and t["name"] in known:
-                        parts += known[t["name"]]
-                    elif j == i + 2 and (t["name"] or t["bare"]):
-                        open_end = True
-                    else:
-                        break
-                j += 1
-                if open_end or j >= len(tokens) or tokens[j]["op"] not in ("+", "."):
+    def binds(at: int, stop: int) -> bool:
+        t = _TOKEN.search(text, at, stop)
+        return t is not None and t["op"] in _BINDS
+
+    def indented(name_at: int, at: int, stop: int) -> list[tuple[str, int, int]]:
+        """YAML: the lines from `at` that stand deeper than the name's line, up to the first that is no plain value."""
+        margin = lambda x: len(_MARGIN.match(text, x)[0])
+        least, parts = margin(text.rfind("\n", 0, name_at) + 1), []
+        while at < stop:
+            end = text.find("\n", at, stop)
+            end = stop if end < 0 else end
+            begin = at + margin(at)
+            cut = _VALUE_END.search(text, begin, end)
+            value = text[begin : cut.start() if cut else end].rstrip()
+            if value:
+                if begin - at <= least or " " in value or "(" in value or value[0] in "\"'`#[{<&*!" or value.endswith(":") or _MAPPING.match(value):
                     break
-                j += 1
-            if open_end:  # an unquoted value runs to the end of its statement
-                begin = tokens[i + 2].start()
-                stop = _VALUE_END.search(line, begin)
-                value = line[begin : stop.start() if stop else len(line)].rstrip()
-                parts = [(value, line_at + begin, line_at + begin + len(value))] if " " not in value and "(" not in value else []
-            if parts:
-                known[name] = parts
-                judge(name.rpartition(".")[2] if m["name"] else name, parts)
-            i = max(j, i + 1)
+                parts.append((value, begin, begin + len(value)))
+            at = end + 1
+        return parts
+
+    def expression(name_at: int, op: re.Match, stop: int) -> tuple[list[tuple[str, int, int]], int]:
+        """The literals of the expression after op, and where to go on: after it, or after its first token."""
+        parts: list[tuple[str, int, int]] = []
+        at = go_on = op.end()
+        depth, need, crossed, first = 0, True, False, True
+        while (t := _TOKEN.search(text, at, stop)) is not None:
+            kind, at = t.lastgroup, t.end()
+            if kind == "nl":
+                if depth or need:
+                    crossed = True
+                    continue
+                ahead = _LEADING.match(text, t.start(), stop)  # an operator may open the next line
+                if ahead is None:
+                    break
+                at, crossed = ahead.start(1), True
+            elif t["op"] == "(" and need:
+                depth += 1
+            elif t["op"] == ")" and depth and not need:
+                depth, go_on = depth - 1, at
+            elif t["op"] in ("+", ".") and not need:
+                need = True
+            elif t["bare"] == "\\" and text.startswith("\n", at) and not first:
+                at, crossed = at + 1, True
+            elif kind in _QUOTED:
+                if (crossed or not need) and binds(at, stop) or (kind in ("tdq", "tsq") and first and crossed and op["op"] == ":"):
+                    break  # the name of the next pair, or a docstring
+                parts.append((t[kind], t.start(kind), t.end(kind)))
+                need, go_on = False, at
+            elif need and t["name"] in known and not (crossed and binds(at, stop)):
+                parts += known[t["name"]]
+                need, go_on = False, at
+            elif first and not depth and kind in ("name", "bare"):
+                go_on = at
+                if crossed:
+                    if op["op"] == ":":
+                        parts = indented(name_at, text.rfind("\n", 0, t.start()) + 1, stop)
+                    go_on = op.end()
+                    break
+                begin = t.start()  # an unquoted value runs to the end of its statement
+                end = _OPEN.match(text, begin, stop)
+                value = end[1].rstrip() if end else ""
+                if op["op"] == ":" and _BLOCK.fullmatch(value):
+                    line = text.find("\n", begin, stop)
+                    parts = indented(name_at, line + 1, stop) if line >= 0 else []
+                elif end:
+                    parts = [(value, begin, begin + len(value))]
+                break
+            else:
+                break
+            if kind != "nl" and t["op"] != "(":
+                first = False
+        return parts, go_on
+
+    todo = [(0, len(text))]
+    while todo:
+        at, stop = todo.pop()
+        line_starts = True
+        while True:
+            if line_starts:
+                at = _IDLE.match(text, at, stop).end()
+            m = _TOKEN.search(text, at, stop)
+            if m is None:
+                break
+            kind, at = m.lastgroup, m.end()
+            line_starts = kind == "nl"
+            if kind == "tag":
+                inner, begin = m["tagtext"], m.start("tagtext")
+                if "\n" in inner:  # lines inside may be statements themselves
+                    todo.append((begin, m.end("tagtext")))
+                    begin, inner = begin + len(inner) - len(inner.lstrip()), inner.strip()
+                judge(m["tagname"], [(inner, begin, begin + len(inner))])
+            elif kind == "flag":
+                judge(m["flagname"], [(m["flagtext"], m.start("flagtext"), m.end("flagtext"))])
+            elif kind in ("tdq", "tsq"):
+                todo.append(m.span(kind))
+            elif kind in ("name", "dq", "sq") and m[kind]:
+                nxt = _MARGIN.match(text, at, stop).end()
+                if nxt >= stop or text[nxt] not in "=:\"'`":
+                    continue
+                op = _TOKEN.search(text, nxt, stop)
+                if op is None or op["op"] not in _BINDS:
+                    continue
+                parts, at = expression(m.start(), op, stop)
+                for p in _TRIPLE.finditer(text, op.end(), at):
+                    todo.append(p.span())
+                if parts:
+                    known[m[kind]] = parts
+                    judge(m[kind].rpartition(".")[2] if kind == "name" else m[kind], parts)
     return [("literal", s, e, s) for s, e in sorted(found)]
 
 

@@ -166,6 +166,30 @@ def test_the_gate_refuses_nothing_that_scores():
         assert secrets._NAME_MARKS.search(name) or not secrets.name_weight(name)
 
 
+def test_expressions_go_on_over_lines():
+    a, b = "aB3xQ-7pLw!", "9zLm2#Kd8Rt"
+    for form in (
+        'password = (\n    "A"\n    "B")',
+        'password = "A" +\n    "B"',
+        'password = "A"\n    + "B"',
+        'password = "A" "B"',
+        'password = "A" \\\n  "B"',
+        'my_secret = """A\nB"""',
+        "db:\n  my_secret:\n    A\n    B\nx: 1",
+        "my_secret: |\n  A\n  B\n",
+        "<dbSecret>\n  A\n</dbSecret>\npassword =\n 'B'",
+        'doc = """\nmy_secret = \'A\'\nmy_pwd = \'B\'\n"""',
+        "<c>\nmy_secret = 'A'\nmy_pwd = 'B'\n</c>",
+        "<cfg>\nmy_secret = 'A'\nmy_pwd = 'B'\n</cfg>",
+    ):
+        text = form.replace("B", b).replace("A", a)
+        clean = secrets.redact(text, secrets.secret_spans(text)[1])
+        assert a not in clean and b not in clean, text
+    for text in ("auth:\n  user: bob\n", 'class Token:\n    """Tokenizer."""\n', '"secret": [],\n"other": "aB3xQ7pLw!"', '"secret":\n"other": "aB3xQ7pLw!"', "my_secret =\nuser = aB3xQ7pLw!\n"):
+        assert secrets.literal_spans(text) == [], text
+    assert len(secrets.literal_spans('password = "aB3xQ" "9zLm2"')) == 2
+
+
 def test_base_spans_are_the_patterns():
     import re
 

@@ -115,7 +115,7 @@ def _merges(unit: Column, known: Column) -> Column:
 
 
 def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(unit) -> (unit, ids, whole): one row each; whole: the pieces' texts make up the unit. The input's partitioning by unit is kept."""
+    """(unit) -> (unit, ids): one row each. The input's partitioning by unit is kept."""
     table = F.broadcast(pieces.table(units.sparkSession))
     places = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     parts = places.select("unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("size"))
@@ -131,22 +131,22 @@ def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
         grouped = edges.groupBy("unit").agg(F.map_from_entries(F.collect_set(edge)).alias("known"))
         found = grouped.select("unit", _merges(F.col("unit"), F.col("known")).alias("found"))
     ids = F.flatten(F.transform("found", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_byte_ids(p["piece"], pieces.first_byte))))
-    return found.select("unit", ids.alias("ids"), (F.array_join(F.transform("found", lambda p: p["piece"]), "") == F.col("unit")).alias("whole"))
+    return found.select("unit", ids.alias("ids"))
 
 
 def encoded_units(rows: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(rid, doc_id, text) -> (rid, doc_id, pos, ids, whole) for every unit, and a row without pos for every text; doc_id is null in some."""
+    """(rid, doc_id, text) -> (rid, doc_id, pos, ids) for every unit, and a row without pos but with text_md5 for every text; doc_id is null in some."""
     each = rows.select("rid", F.posexplode(units_of(F.col("text"))).alias("pos", "unit"))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"))).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
     common = sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD).select("unit")
     head = written(encode_units(common.repartition("unit"), pieces))
     known = each.join(F.broadcast(head), "unit", "left")
-    easy = known.where("ids IS NOT NULL").select("rid", "pos", "ids", "whole")
+    easy = known.where("ids IS NOT NULL").select("rid", "pos", "ids")
     rest = known.where("ids IS NULL").select("unit", "rid", "pos").repartition("unit")
     # all columns of rest are read, so that both sides of the join share one exchange
     different = rest.groupBy("unit").agg(F.max("rid").alias("r"), F.max("pos").alias("p")).where("r >= 0 AND p >= 0").select("unit")
-    hard = rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("rid", "pos", "ids", "whole")
-    ends = rows.select("rid", "doc_id")
+    hard = rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("rid", "pos", "ids")
+    ends = rows.select("rid", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
     return ends.unionByName(easy.unionByName(hard), allowMissingColumns=True)
 
 
@@ -154,41 +154,48 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
 
+def _in_order() -> Column:
+    """All ids of a text, of its units in order (an aggregate)."""
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))), lambda x: x["ids"]))
+    return F.coalesce(whole, F.array().cast("array<int>"))
+
+
 def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
     """doc_id, ids of every row. The rows must come alike each time they are read, as those of files do.
 
     Null and empty texts have no ids; repeated rows and null ids keep a row each; other columns are not read.
     """
     units = encoded_units(_numbered(docs), PieceTable(tokenizer_file(model, tokenizers)))
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))), lambda x: x["ids"]))
-    return units.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.coalesce(whole, F.array().cast("array<int>")).alias("ids")).select("doc_id", "ids")
+    return units.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), _in_order().alias("ids")).select("doc_id", "ids")
+
+
+def text_of(ids: Column, pieces: PieceTable) -> Column:
+    """The text of ids: pieces' texts in a row, bytes' pieces as UTF-8 (U+FFFD where it is broken), meta-symbols as spaces but for the first."""
+    code = {i: p.encode().hex() for p, i, _ in pieces.rows} | {i: f"{b:02x}" for b, i in pieces.bytes.items()}
+    codes = F.split(F.lit(",".join(code.get(i, "") for i in range(max(code) + 1))), ",")  # folded to one constant
+    joined = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(codes, i)), ""))
+    text = F.replace(F.make_valid_utf8(joined.cast("string")), F.lit(SPACE), F.lit(" "))
+    return F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit(""))
 
 
 def decode(rows: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text): pieces' texts in a row, bytes' pieces as UTF-8, meta-symbols as spaces but for the first."""
-    pieces = PieceTable(tokenizer_file(model, tokenizers))
-    spark = rows.sparkSession
-    all_rows = [(i, p.encode().hex()) for p, i, _ in pieces.rows] + [(i, f"{b:02x}") for b, i in pieces.bytes.items()]
-    table = spark.createDataFrame(all_rows, "id int, code string")
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), rows[id_col].alias("doc_id"), F.col("ids"))
-    each = numbered.select("rid", "doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "")
-    text = F.replace(F.decode(F.unhex(code), "UTF-8"), F.lit(SPACE), F.lit(" "))
-    return each.groupBy("rid", "doc_id").agg(F.coalesce(text, F.lit("")).alias("text")).select("doc_id", F.when(F.startswith("text", F.lit(" ")), F.expr("substring(text, 2)")).otherwise(F.col("text")).alias("text"))
+    """(doc_id, ids) -> (doc_id, text), by text_of."""
+    return rows.select(rows[id_col].alias("doc_id"), text_of(F.col("ids"), PieceTable(tokenizer_file(model, tokenizers))).alias("text"))
 
 
 def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
-    """doc_id, n_units, n_pieces, ids_hash, round_trip of every row, without bringing a text's ids together.
+    """doc_id, n_units, n_pieces, ids_hash, round_trip, ids of every row.
 
-    ids_hash is the exclusive or of a hash of each unit's place and ids; round_trip: every unit's pieces make it up again.
-    Null and empty texts have no units and hash 0.
+    ids_hash is the exclusive or of a hash of each unit's place and ids; round_trip: the ids decode to the text (by MD5);
+    not so for texts with U+2581, which decodes to a space. Null and empty texts have no units and hash 0.
     """
-    units = encoded_units(_numbered(docs), PieceTable(tokenizer_file(model, tokenizers)))
-    summed = units.groupBy("rid").agg(
+    pieces = PieceTable(tokenizer_file(model, tokenizers))
+    whole = encoded_units(_numbered(docs), pieces).groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.count("pos").alias("n_units"),
-        F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long")), F.lit(0)).alias("n_pieces"),
         F.coalesce(F.bit_xor(F.when(F.col("pos").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_hash"),
-        F.coalesce(F.bool_and("whole"), F.lit(True)).alias("round_trip"),
+        F.max("text_md5").alias("text_md5"),
+        _in_order().alias("ids"),
     )
-    return summed.drop("rid")
+    same = F.md5(text_of(F.col("ids"), pieces)) == F.col("text_md5")
+    return whole.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_pieces"), "ids_hash", same.alias("round_trip"), "ids")

@@ -208,6 +208,23 @@ def test_op8_is_the_library_and_decodes(docs):
     assert all(r["round_trip"] for r in pieces.encode_digest(docs).collect())
 
 
+def test_op8_round_trip_decodes_the_ids(spark, tmp_path, monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=tokenizer_file(pieces.MODEL, TOKENIZERS))
+    texts = ["a▁b", "plain \u0001 日本語 \U0001f9ff", "  two  spaces ", "", None, "Hello, world"]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {r["doc_id"]: r for r in pieces.encode_digest(docs).collect()}
+    assert [got[i]["round_trip"] for i in range(6)] == [False, True, True, True, True, True]
+    assert [list(got[i]["ids"]) for i in range(6)] == [library.encode(t or "") for t in texts]
+    right = pieces._byte_ids
+    monkeypatch.setattr(pieces, "_byte_ids", lambda char, first: right(char, first + 1))
+    wrong = {r["doc_id"]: r["round_trip"] for r in pieces.encode_digest(docs).collect()}
+    assert not wrong[1] and wrong[5]
+
+
 def test_op8_viterbi_is_the_library_on_a_unigram_model(spark, tmp_path):
     from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 

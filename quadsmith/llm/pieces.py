@@ -1,31 +1,79 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units: a run of the meta-symbol for spaces with what follows it. No piece goes on past such a run,
-so units are encoded by themselves. Every substring of a unit no longer than the longest piece is exploded and
-equi-joined to the piece table (a broadcast bounded by the vocabulary); the edges found are grouped by unit, and a Spark
-higher-order `aggregate` folds each unit's edges into its pieces:
+Texts are cut into units: a run of the meta-symbol for spaces with what follows it, and at each change between ASCII
+signs and other characters where no piece of the model goes across one. No piece crosses such a cut, so units are
+encoded by themselves. Every substring of a unit no longer than the longest piece is exploded and equi-joined to the
+piece table (a broadcast bounded by the vocabulary); the edges found are grouped by unit, and a Spark higher-order
+`aggregate` folds each unit's edges into its pieces:
 
 - unigram models: Viterbi. The state is the best way to every place so far; edges come in order of their ends.
 - BPE models: the model's own rule isn't a best path, so a Viterbi fold can't give the model's results. The same lattice
-  is folded by merges: the state is the list of symbols, and each step joins the best-scored pair that is an edge.
-
-A character in no piece becomes its UTF-8 bytes' pieces. Frequent units (at most `HEAD`, of `HEAD_CHARS`
-characters at most, found in one of `HEAD_SHARE` texts; the choice changes nothing but the time) are encoded once and broadcast; all others are shuffled by
-unit, encoded once each where they meet, and joined back there.
+  is folded by merges: edges come in order of their scores, the state is the set of bounds between symbols (a bit each),
+  and an edge whose bounds stand with just one between them takes that one away. That is the model's rule wherever the
+  merges that make a piece have falling scores, which is tested for every piece; units that hold another piece (runs of
+  spaces) are folded by the best pair of each step.
+
+A character in no piece becomes its UTF-8 bytes' pieces. Each different unit of a batch of texts is sent once: frequent
+ones (at most `HEAD`, of at most `HEAD_CHARS` characters, from one of `HEAD_SHARE` texts; the choice changes nothing but
+the time) are encoded once and kept by all workers, others are shuffled by unit, encoded once each where they meet, and
+given back to their batches, which keep their texts as numbers of units.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, tokenizer_file, written
+from .arrays import ragged
+from .batches import ROW_BITS, Store
+from .common import TOKENIZERS, map_batches, release, shared_dir, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-HEAD = 200_000
+HEAD = 300_000
 HEAD_SHARE = 16
 HEAD_CHARS = 32
+CODE_BYTES = 8 << 20
+BITS = 61  # characters of a unit whose bounds fit into one long
+_SIGNS = r"\x00-@\[-`{-\x7f"
+_WHOLE = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+_PARTS = f"{SPACE}*[^{SPACE}{_SIGNS}]+|{SPACE}*[{_SIGNS}]+|{SPACE}+"
+_KIND = "pieces"
+_U = np.uint64
+
+
+def unmergeable(rows: list[tuple[str, int, float]]) -> set[str]:
+    """Pieces that merging in the order of (cost, place) may miss: of a score that others have too, or made in another order."""
+    cost = {p: -s for p, _, s in rows}
+    shared = Counter(cost.values())
+    out = set()
+    for piece in cost:
+        if len(piece) == 1:
+            continue
+        if shared[cost[piece]] > 1:
+            out.add(piece)
+            continue
+        symbols, at, last = list(piece), list(range(len(piece))), (-float("inf"), 0)
+        while len(symbols) > 1:
+            found = [(cost[x], at[i], i) for i in range(len(symbols) - 1) if (x := symbols[i] + symbols[i + 1]) in cost]
+            if not found:
+                break
+            *best, i = min(found)
+            if tuple(best) <= last:
+                out.add(piece)
+                break
+            last = tuple(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del at[i + 1]
+    return out
 
 
 class PieceTable:
@@ -49,15 +97,27 @@ class PieceTable:
         if any(self.bytes[b] != self.first_byte + b for b in range(256)):
             raise ValueError("bytes' pieces must stand in a row")
         self.rule = "unigram" if proto.trainer_spec.model_type == 1 else "bpe"
+        sign = re.compile(f"[{_SIGNS}]")
+        mixed = any(SPACE not in (a, b) and bool(sign.match(a)) != bool(sign.match(b)) for p, _, _ in self.rows for a, b in zip(p, p[1:]))
+        self.pattern = _WHOLE if mixed else _PARTS
+        self.odd = sorted(unmergeable(self.rows)) if self.rule == "bpe" else []
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
+        """code: rank of the score, then the id, above 12 free bits."""
+        rank = {s: k for k, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        return spark.createDataFrame([(p, i, s, rank[s] << 32 | i << 12) for p, i, s in self.rows], "piece string, id int, score double, code long")
 
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, meta-symbols as spaces, and where each id's begin."""
+        text = {i: p.replace(SPACE, " ").encode() for p, i, _ in self.rows} | {i: bytes([b]) for b, i in self.bytes.items()}
+        parts = [text.get(i, b"") for i in range(max(text) + 1)]
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
 
-def units_of(text: Column) -> Column:
+
+def units_of(text: Column, pattern: str) -> Column:
     """The units of a text, in order; none of null or empty text."""
     marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), F.lit(0)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)))
 
 
 def _let(value: Column, body) -> Column:
@@ -114,59 +174,238 @@ def _merges(unit: Column, known: Column) -> Column:
     return F.transform(symbols, lambda s: F.struct(s.alias("piece"), F.coalesce(known[s]["id"], F.lit(-1)).alias("id")))
 
 
-def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(unit) -> (unit, ids): one row each. The input's partitioning by unit is kept."""
-    table = F.broadcast(pieces.table(units.sparkSession))
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+def _bounds(chars: Column, keys: Column) -> Column:
+    """The bounds left by merging: a bit for each. keys: sorted codes with an edge's start and stop in the lowest 12 bits."""
+
+    def step(bounds: Column, key: Column) -> Column:
+        ends, inner = _edge(key)
+        return F.when((bounds.bitwiseAND(ends) == ends) & (F.bit_count(bounds.bitwiseAND(inner)) == 1), bounds.bitwiseAND(F.bitwise_not(inner))).otherwise(bounds)
+
+    return F.aggregate(keys, F.call_function("shiftleft", _long(2), chars) - 1, step)
+
+
+def _edge(key: Column) -> tuple[Column, Column]:
+    """The bits of an edge's ends, and those between them."""
+    start, stop = F.shiftright(key, 6).bitwiseAND(_long(63)).cast("int"), key.bitwiseAND(_long(63)).cast("int")
+    left, right = F.call_function("shiftleft", _long(1), start), F.call_function("shiftleft", _long(1), stop)
+    return left.bitwiseOR(right), right - left * 2
+
+
+def _pieces_between(unit: Column, bounds: Column, keys: Column, first_byte: int) -> Column:
+    """The ids of the symbols between the bounds; a character without piece gives its bytes' ids."""
+
+    def whole(key: Column) -> Column:
+        ends, inner = _edge(key)
+        return (bounds.bitwiseAND(ends) == ends) & (bounds.bitwiseAND(inner) == 0)
+
+    starts_and_ids = lambda key: F.shiftright(key, 6).bitwiseAND(_long(63)) * (1 << 20) + F.shiftright(key, 12).bitwiseAND(_long((1 << 20) - 1))
+    found = F.array_sort(F.transform(F.filter(keys, whole), starts_and_ids))
+    ids = lambda xs: F.transform(xs, lambda x: x.bitwiseAND(_long((1 << 20) - 1)).cast("int"))
+
+    def mended(have: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.length(unit) - 1), lambda i: F.call_function("shiftright", bounds, i).bitwiseAND(_long(1)) == 1)
+        own = lambda i: F.filter(have, lambda x: F.shiftright(x, 20) == i.cast("long"))
+        return F.flatten(F.transform(at, lambda i: _let(own(i), lambda x: F.when(F.size(x) > 0, ids(x)).otherwise(_byte_ids(F.substr(unit, i + 1, F.lit(1)), first_byte)))))
+
+    return _let(found, lambda x: F.when(F.size(x) == F.bit_count(bounds) - 1, ids(x)).otherwise(mended(x)))
+
+
+def _long_unit(unit: Column, edges: Column, first_byte: int) -> Column:
+    """The same for a unit of any length: the state is the array of bounds; edges are sorted (code, start, stop)."""
+
+    def step(bounds: Column, e: Column) -> Column:
+        join = lambda i: F.when((i > 0) & (F.get(bounds, i + 1) == e["stop"]), F.concat(F.slice(bounds, 1, i), F.slice(bounds, i + 2, F.size(bounds)))).otherwise(bounds)
+        return _let(F.array_position(bounds, e["start"]).cast("int"), join)
+
+    def ids(bounds: Column) -> Column:
+        whole = lambda e: _let(F.array_position(bounds, e["start"]).cast("int"), lambda i: (i > 0) & (F.get(bounds, i) == e["stop"]))
+        own = lambda e: F.struct(e["start"].alias("start"), F.shiftright(e["code"], 12).bitwiseAND(_long((1 << 20) - 1)).cast("int").alias("id"))
+        found = F.array_sort(F.transform(F.filter(edges, whole), own))
+
+        def mended(have: Column) -> Column:
+            at = F.slice(bounds, 1, F.size(bounds) - 1)
+            mine = lambda i: F.filter(have, lambda x: x["start"] == i)
+            return F.flatten(F.transform(at, lambda i: _let(mine(i), lambda x: F.when(F.size(x) > 0, F.transform(x, lambda y: y["id"])).otherwise(_byte_ids(F.substr(unit, i + 1, F.lit(1)), first_byte)))))
+
+        return _let(found, lambda x: F.when(F.size(x) == F.size(bounds) - 1, F.transform(x, lambda y: y["id"])).otherwise(mended(x)))
+
+    return _let(F.aggregate(edges, F.sequence(F.lit(0), F.length(unit)), step), ids)
+
+
+def _lattice(units: DataFrame, pieces: PieceTable) -> DataFrame:
+    """All edges of all units: unit, at (from 1), size, and the piece's columns; single characters in no piece too."""
     places = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     parts = places.select("unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("size"))
     parts = parts.select("unit", "at", "size", F.expr("substring(unit, at, size)").alias("piece"))
-    unknown = min(s for _, _, s in pieces.rows) - 10
-    edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR size = 1")
+    return parts.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where("id IS NOT NULL OR size = 1")
+
+
+def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
+    """(unit) -> (unit, ids): one row each. The input's partitioning by unit is kept."""
+    flat = lambda found: F.flatten(F.transform(found, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_byte_ids(p["piece"], pieces.first_byte))))
     if pieces.rule == "unigram":
+        unknown = min(s for _, _, s in pieces.rows) - 10
         edge = F.struct((F.col("at") + F.col("size") - 1).alias("stop"), (F.col("at") - 1).alias("start"), "piece", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-        grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+        grouped = _lattice(units, pieces).groupBy("unit").agg(F.collect_list(edge).alias("edges"))
         found = grouped.select("unit", _viterbi(F.col("edges")).alias("best")).select("unit", _walk_back(F.col("best")).alias("found"))
-    else:
+        return found.select("unit", flat(F.col("found")).alias("ids"))
+    start, stop = F.col("at") - 1, F.col("at") + F.col("size") - 1
+    odd = F.col("unit").rlike("|".join(map(re.escape, pieces.odd))) if pieces.odd else F.lit(False)
+    keys = F.sort_array(F.collect_list(F.col("code") + start * 64 + stop))
+    grouped = _lattice(units.where(~odd & (F.length("unit") <= BITS)), pieces).groupBy("unit").agg(keys.alias("keys"))
+    bounded = grouped.withColumn("bounds", _bounds(F.length("unit"), F.col("keys")))
+    out = bounded.select("unit", _pieces_between(F.col("unit"), F.col("bounds"), F.col("keys"), pieces.first_byte).alias("ids"))
+    edges = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("code", start.alias("start"), stop.alias("stop")))))
+    grouped = _lattice(units.where(~odd & (F.length("unit") > BITS)), pieces).groupBy("unit").agg(edges.alias("edges"))
+    out = out.unionByName(grouped.select("unit", _long_unit(F.col("unit"), F.col("edges"), pieces.first_byte).alias("ids")))
+    if pieces.odd:
         edge = F.when(F.col("id").isNotNull(), F.struct("piece", F.struct((-F.col("score")).alias("cost"), "id")))
-        grouped = edges.groupBy("unit").agg(F.map_from_entries(F.collect_set(edge)).alias("known"))
-        found = grouped.select("unit", _merges(F.col("unit"), F.col("known")).alias("found"))
-    ids = F.flatten(F.transform("found", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_byte_ids(p["piece"], pieces.first_byte))))
-    return found.select("unit", ids.alias("ids"))
+        known = _lattice(units.where(odd), pieces).groupBy("unit").agg(F.map_from_entries(F.collect_set(edge)).alias("known"))
+        out = out.unionByName(known.select("unit", flat(_merges(F.col("unit"), F.col("known"))).alias("ids")))
+    return out
 
 
-def encoded_units(rows: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(rid, doc_id, text) -> (rid, doc_id, pos, ids) for every unit, and a row without pos but with text_md5 for every text; doc_id is null in some."""
-    each = rows.select("rid", F.posexplode(units_of(F.col("text"))).alias("pos", "unit"))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"))).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
-    common = sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD).select("unit")
-    head = written(encode_units(common.repartition("unit"), pieces))
-    known = each.join(F.broadcast(head), "unit", "left")
-    easy = known.where("ids IS NOT NULL").select("rid", "pos", "ids")
-    rest = known.where("ids IS NULL").select("unit", "rid", "pos").repartition("unit")
-    # all columns of rest are read, so that both sides of the join share one exchange
-    different = rest.groupBy("unit").agg(F.max("rid").alias("r"), F.max("pos").alias("p")).where("r >= 0 AND p >= 0").select("unit")
-    hard = rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("rid", "pos", "ids")
-    ends = rows.select("rid", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
-    return ends.unionByName(easy.unionByName(hard), allowMissingColumns=True)
+def _tasks(spark: SparkSession) -> int:
+    """Tasks to encode units in; given as a number, since folding takes far longer than the bytes of units suggest."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+class Head:
+    """Frequent units and their ids, as every worker keeps them."""
 
+    def __init__(self, units: list[str], ids: list[list[int]]):
+        self.number = {u: i for i, u in enumerate(units)}
+        self.sizes = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.array([i for x in ids for i in x], np.int32)
 
-def _in_order() -> Column:
-    """All ids of a text, of its units in order (an aggregate)."""
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))), lambda x: x["ids"]))
-    return F.coalesce(whole, F.array().cast("array<int>"))
 
+def head_of(docs: DataFrame, pieces: PieceTable) -> Head:
+    """The most frequent units of a sample of the texts, encoded."""
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"), pieces.pattern)).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
+    common = sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD).select("unit")
+    made = encode_units(common.repartition(_tasks(docs.sparkSession), "unit"), pieces).toArrow()  # at most HEAD rows
+    return Head(made.column("unit").to_pylist(), made.column("ids").to_pylist())
 
-def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
-    """doc_id, ids of every row. The rows must come alike each time they are read, as those of files do.
 
-    Null and empty texts have no ids; repeated rows and null ids keep a row each; other columns are not read.
+def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFrame:
+    """Write docs (doc_id, text) as batches of numbers of units: those of the head first, then the batch's own `rest`.
+
+    A row holds about `size` bytes of text: doc_id, n_units, n_bytes and crc32 of every text, all numbers in a row.
     """
-    units = encoded_units(_numbered(docs), PieceTable(tokenizer_file(model, tokenizers)))
-    return units.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), _in_order().alias("ids")).select("doc_id", "ids")
+    find = re.compile(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(_KIND)
+        number, codes, rest, rows, have = TaskContext.get().partitionId() << ROW_BITS, [], {}, [], 0
+        known = head.value.number
+        base = len(known)
+
+        def row() -> pa.RecordBatch:
+            nonlocal number, codes, rest, rows, have
+            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([np.concatenate(codes).tobytes() if codes else b""], pa.binary()), pa.array([list(rest)], pa.list_(pa.string()))]
+            number, codes, rest, rows, have = number + 1, [], {}, [], 0
+            return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n_units", "crc32", "codes", "rest"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                raw = text.encode()
+                if have and have + len(raw) > size or len(rows) >= 1 << ROW_BITS:
+                    yield row()
+                units = find.findall(SPACE + text.replace(" ", SPACE)) if text else []
+                for u in set(units).difference(known).difference(rest):
+                    rest[u] = base + len(rest)
+                codes.append(np.fromiter((known[u] if u in known else rest[u] for u in units), "<u4", len(units)))
+                rows.append((doc_id, len(units), zlib.crc32(raw)))
+                have += len(raw)
+        if rows:
+            yield row()
+
+    path = shared_dir(docs.sparkSession)
+    out = docs.mapInArrow(run, "batch long, doc_id array<long>, n_units array<long>, crc32 array<long>, codes binary, rest array<string>")
+    out.write.option("compression", "zstd").option("parquet.block.size", size).parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _decoded_crc(ids: np.ndarray, cut: np.ndarray, codes: tuple[np.ndarray, np.ndarray], block: int = 1 << 17) -> list[int]:
+    """CRC-32 of each text that its ids decode to (the first space left out), by blocks of ids."""
+    data, begin = codes
+    crc = [0] * (len(cut) - 1)
+    for lo in range(0, len(ids), block):
+        part = ids[lo : lo + block]
+        size = begin[part + 1] - begin[part]
+        raw = data[ragged(begin[part], size)]
+        view = memoryview(raw)
+        at = np.concatenate([[0], np.cumsum(size)])
+        first, last = int(np.searchsorted(cut, lo, side="right")) - 1, int(np.searchsorted(cut, lo + len(part), side="left"))
+        for owner in range(first, last):
+            a, z = max(int(cut[owner]), lo) - lo, min(int(cut[owner + 1]) - lo, len(part))
+            x, y = int(at[a]), int(at[max(a, z)])
+            if a + lo == cut[owner] and y > x and raw[x] == 32:
+                x += 1
+            crc[owner] = zlib.crc32(view[x:y], crc[owner])
+    return crc
+
+
+def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
+    """doc_id, n_units, n_pieces, ids_crc32, round_trip, ids of every row.
+
+    ids_crc32 is that of the ids as little-endian unsigned 32-bit; round_trip: the ids decode to the text (by CRC-32), not
+    so for texts with U+2581, which decodes to a space. Null and empty texts have no units and no ids; repeated rows and
+    null ids keep a row each; an empty table gives no rows; other columns are not read.
+    """
+    pieces = PieceTable(tokenizer_file(model, tokenizers))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
+    batches = coded(docs, pieces.pattern, head)
+    rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).repartition(_tasks(docs.sparkSession), "unit")
+    # all columns of rest are read, so that both sides of the join share one exchange
+    different = rest.groupBy("unit").agg(F.max("batch").alias("b"), F.max("k").alias("m")).where("b >= 0 AND m >= 0").select("unit")
+    found = Store(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("batch", "k", "ids"))
+    codes = pieces.codes()
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        own = head.value
+        for number, doc_id, n_units, crc, raw, rest in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6))):
+            rows = found.of(number) if len(rest) else None
+            sizes, flat = own.sizes, own.ids
+            if rows is not None:
+                rows = rows.sort_by("k")
+                lists = rows.column("ids").combine_chunks()
+                if len(lists) != len(rest):
+                    raise RuntimeError(f"batch {number}: {len(lists)} encodings for {len(rest)} units")
+                sizes = np.concatenate([sizes, np.diff(lists.offsets.to_numpy())])
+                flat = np.concatenate([flat, lists.flatten().to_numpy()])
+            starts = np.cumsum(sizes) - sizes
+            used = np.frombuffer(raw.as_buffer(), "<u4")
+            parts = [flat[ragged(starts[x], sizes[x])] for a in range(0, len(used), 1 << 18) for x in [used[a : a + (1 << 18)]]]
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            count = np.asarray(n_units.values, np.int64)
+            cut = np.concatenate([[0], np.cumsum(sizes[used])])[np.concatenate([[0], np.cumsum(count)])]
+            view = memoryview(ids.astype("<u4")).cast("B")
+            wanted = np.asarray(crc.values, np.int64)
+            for a in range(0, len(count), 256):
+                z = min(a + 256, len(count))
+                own_cut = cut[a : z + 1]
+                yield {
+                    "doc_id": doc_id.values.slice(a, z - a),
+                    "n_units": count[a:z],
+                    "n_pieces": np.diff(own_cut),
+                    "ids_crc32": [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(own_cut[:-1].tolist(), own_cut[1:].tolist())],
+                    "round_trip": np.array(_decoded_crc(ids[own_cut[0] : own_cut[-1]], own_cut - own_cut[0], codes)) == wanted[a:z],
+                    "ids": pa.ListArray.from_arrays(pa.array((own_cut - own_cut[0]).astype(np.int32)), pa.array(ids[own_cut[0] : own_cut[-1]].astype(np.int32))),
+                }
+
+    return map_batches(batches, run, "doc_id long, n_units long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>", _KIND)
+
+
+def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
+    """doc_id, ids of every row, as encode_digest has them."""
+    return encode_digest(docs, tokenizers, model).select("doc_id", "ids")
 
 
 def text_of(ids: Column, pieces: PieceTable) -> Column:
@@ -181,21 +420,3 @@ def text_of(ids: Column, pieces: PieceTable) -> Column:
 def decode(rows: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) -> (doc_id, text), by text_of."""
     return rows.select(rows[id_col].alias("doc_id"), text_of(F.col("ids"), PieceTable(tokenizer_file(model, tokenizers))).alias("text"))
-
-
-def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MODEL) -> DataFrame:
-    """doc_id, n_units, n_pieces, ids_hash, round_trip, ids of every row.
-
-    ids_hash is the exclusive or of a hash of each unit's place and ids; round_trip: the ids decode to the text (by MD5);
-    not so for texts with U+2581, which decodes to a space. Null and empty texts have no units and hash 0.
-    """
-    pieces = PieceTable(tokenizer_file(model, tokenizers))
-    whole = encoded_units(_numbered(docs), pieces).groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.count("pos").alias("n_units"),
-        F.coalesce(F.bit_xor(F.when(F.col("pos").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_hash"),
-        F.max("text_md5").alias("text_md5"),
-        _in_order().alias("ids"),
-    )
-    same = F.md5(text_of(F.col("ids"), pieces)) == F.col("text_md5")
-    return whole.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_pieces"), "ids_hash", same.alias("round_trip"), "ids")

@@ -208,6 +208,26 @@ def test_op8_is_the_library_and_decodes(docs):
     assert all(r["round_trip"] for r in pieces.encode_digest(docs).collect())
 
 
+def test_op8_long_units_and_runs_of_spaces(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(5)
+    library = SentencePieceProcessor(model_file=tokenizer_file(pieces.MODEL, TOKENIZERS))
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (61, 62, 63, 64, 300, 1500)] + ["語学" * 200, "é🧿" * 90, "=" * 700, "a" + " " * 90 + "b", " " * 40, "ininging" * 30, "x\n\n  y\t1234567,5"]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {r["doc_id"]: r for r in pieces.encode_digest(spark.read.parquet(path)).collect()}
+    assert [list(got[i]["ids"]) for i in range(len(texts))] == [library.encode(t) for t in texts]
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r["ids"])) for r in got.values())
+
+
+def test_op8_every_piece_merges_in_order_or_is_odd():
+    table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
+    assert table.odd and all(set(p) == {pieces.SPACE} for p in table.odd)
+    rows = [("a", 0, -9.0), ("b", 1, -9.5), ("c", 2, -9.7), ("bc", 3, -3.0), ("abc", 4, -1.0), ("ab", 5, -8.0)]
+    assert pieces.unmergeable(rows) == {"abc"}
+
+
 def test_op8_round_trip_decodes_the_ids(spark, tmp_path, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 

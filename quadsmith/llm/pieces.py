@@ -160,20 +160,6 @@ def _walk_back(best: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(best)), start, back)["pieces"]
 
 
-def _merges(unit: Column, known: Column) -> Column:
-    """Pieces by joining, time and again, the pair of best score (leftmost on ties); known maps pieces to (cost, id)."""
-    chars = F.filter(F.split(unit, ""), lambda c: c != "")
-
-    def step(symbols: Column, _: Column) -> Column:
-        pair = lambda i: F.struct(known[F.concat(symbols[i - 1], symbols[i])]["cost"].alias("cost"), i.alias("at"))
-        best = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.size(symbols) - 1), pair), lambda p: p["cost"].isNotNull()))
-        join = lambda at: F.concat(F.slice(symbols, 1, at - 1), F.array(F.concat(symbols[at - 1], symbols[at])), F.slice(symbols, at + 2, F.size(symbols)))
-        return F.when(F.size(symbols) < 2, symbols).otherwise(_let(best["at"], lambda at: F.when(at.isNull(), symbols).otherwise(join(at))))
-
-    symbols = F.aggregate(F.sequence(F.lit(1), F.length(unit)), chars, step)
-    return F.transform(symbols, lambda s: F.struct(s.alias("piece"), F.coalesce(known[s]["id"], F.lit(-1)).alias("id")))
-
-
 def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
@@ -214,17 +200,25 @@ def _pieces_between(unit: Column, bounds: Column, keys: Column, first_byte: int)
     return _let(found, lambda x: F.when(F.size(x) == F.bit_count(bounds) - 1, ids(x)).otherwise(mended(x)))
 
 
-def _long_unit(unit: Column, edges: Column, first_byte: int) -> Column:
-    """The same for a unit of any length: the state is the array of bounds; edges are sorted (code, start, stop)."""
+def _drop_bound(bounds: Column, e: Column) -> Column:
+    """bounds without the one inside edge e, if e's ends stand with just that between them."""
+    join = lambda i: F.when((i > 0) & (F.get(bounds, i + 1) == e["stop"]), F.concat(F.slice(bounds, 1, i), F.slice(bounds, i + 2, F.size(bounds)))).otherwise(bounds)
+    return _let(F.array_position(bounds, e["start"]).cast("int"), join)
+
 
-    def step(bounds: Column, e: Column) -> Column:
-        join = lambda i: F.when((i > 0) & (F.get(bounds, i + 1) == e["stop"]), F.concat(F.slice(bounds, 1, i), F.slice(bounds, i + 2, F.size(bounds)))).otherwise(bounds)
-        return _let(F.array_position(bounds, e["start"]).cast("int"), join)
+def _long_unit(unit: Column, edges: Column, best_first: Column, first_byte: int) -> Column:
+    """The ids of a unit of any length: the state is the array of bounds; edges are sorted (rank, start, stop, id).
+
+    Edges are folded once in their order, or (best_first) by the best that fits, as often as there are characters.
+    """
+    spans = lambda bounds, e, n: _let(F.array_position(bounds, e["start"]).cast("int"), lambda i: (i > 0) & (F.get(bounds, i + n - 1) == e["stop"]))
+
+    def best(bounds: Column, _: Column) -> Column:
+        found = F.array_min(F.filter(edges, lambda e: spans(bounds, e, 2)))
+        return _let(found, lambda e: F.when(e.isNull(), bounds).otherwise(_drop_bound(bounds, e)))
 
     def ids(bounds: Column) -> Column:
-        whole = lambda e: _let(F.array_position(bounds, e["start"]).cast("int"), lambda i: (i > 0) & (F.get(bounds, i) == e["stop"]))
-        own = lambda e: F.struct(e["start"].alias("start"), F.shiftright(e["code"], 12).bitwiseAND(_long((1 << 20) - 1)).cast("int").alias("id"))
-        found = F.array_sort(F.transform(F.filter(edges, whole), own))
+        found = F.array_sort(F.transform(F.filter(edges, lambda e: spans(bounds, e, 1)), lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
 
         def mended(have: Column) -> Column:
             at = F.slice(bounds, 1, F.size(bounds) - 1)
@@ -233,40 +227,37 @@ def _long_unit(unit: Column, edges: Column, first_byte: int) -> Column:
 
         return _let(found, lambda x: F.when(F.size(x) == F.size(bounds) - 1, F.transform(x, lambda y: y["id"])).otherwise(mended(x)))
 
-    return _let(F.aggregate(edges, F.sequence(F.lit(0), F.length(unit)), step), ids)
+    start = F.sequence(F.lit(0), F.length(unit))
+    folded = F.when(best_first, F.aggregate(F.sequence(F.lit(1), F.length(unit)), start, best)).otherwise(F.aggregate(edges, start, _drop_bound))
+    return _let(folded, ids)
 
 
 def _lattice(units: DataFrame, pieces: PieceTable) -> DataFrame:
-    """All edges of all units: unit, at (from 1), size, and the piece's columns; single characters in no piece too."""
-    places = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
-    parts = places.select("unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("size"))
-    parts = parts.select("unit", "at", "size", F.expr("substring(unit, at, size)").alias("piece"))
+    """All edges of all units: the units' columns, at (from 1), size, and the piece's; single characters in no piece too."""
+    places = units.select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
+    parts = places.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("size"))
+    parts = parts.select("*", F.expr("substring(unit, at, size)").alias("piece"))
     return parts.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where("id IS NOT NULL OR size = 1")
 
 
 def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
     """(unit) -> (unit, ids): one row each. The input's partitioning by unit is kept."""
-    flat = lambda found: F.flatten(F.transform(found, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_byte_ids(p["piece"], pieces.first_byte))))
     if pieces.rule == "unigram":
         unknown = min(s for _, _, s in pieces.rows) - 10
         edge = F.struct((F.col("at") + F.col("size") - 1).alias("stop"), (F.col("at") - 1).alias("start"), "piece", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
         grouped = _lattice(units, pieces).groupBy("unit").agg(F.collect_list(edge).alias("edges"))
         found = grouped.select("unit", _viterbi(F.col("edges")).alias("best")).select("unit", _walk_back(F.col("best")).alias("found"))
-        return found.select("unit", flat(F.col("found")).alias("ids"))
-    start, stop = F.col("at") - 1, F.col("at") + F.col("size") - 1
+        ids = F.transform("found", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(_byte_ids(p["piece"], pieces.first_byte)))
+        return found.select("unit", F.flatten(ids).alias("ids"))
     odd = F.col("unit").rlike("|".join(map(re.escape, pieces.odd))) if pieces.odd else F.lit(False)
-    keys = F.sort_array(F.collect_list(F.col("code") + start * 64 + stop))
-    grouped = _lattice(units.where(~odd & (F.length("unit") <= BITS)), pieces).groupBy("unit").agg(keys.alias("keys"))
-    bounded = grouped.withColumn("bounds", _bounds(F.length("unit"), F.col("keys")))
-    out = bounded.select("unit", _pieces_between(F.col("unit"), F.col("bounds"), F.col("keys"), pieces.first_byte).alias("ids"))
-    edges = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("code", start.alias("start"), stop.alias("stop")))))
-    grouped = _lattice(units.where(~odd & (F.length("unit") > BITS)), pieces).groupBy("unit").agg(edges.alias("edges"))
-    out = out.unionByName(grouped.select("unit", _long_unit(F.col("unit"), F.col("edges"), pieces.first_byte).alias("ids")))
-    if pieces.odd:
-        edge = F.when(F.col("id").isNotNull(), F.struct("piece", F.struct((-F.col("score")).alias("cost"), "id")))
-        known = _lattice(units.where(odd), pieces).groupBy("unit").agg(F.map_from_entries(F.collect_set(edge)).alias("known"))
-        out = out.unionByName(known.select("unit", flat(_merges(F.col("unit"), F.col("known"))).alias("ids")))
-    return out
+    flagged = units.select("unit", odd.alias("odd")).withColumn("hard", F.col("odd") | (F.length("unit") > BITS))
+    start, stop = F.col("at") - 1, F.col("at") + F.col("size") - 1
+    key = F.when(~F.col("hard"), F.col("code") + start * 64 + stop)
+    edge = F.when(F.col("hard") & F.col("id").isNotNull(), F.struct(F.shiftright("code", 32).alias("rank"), start.alias("start"), stop.alias("stop"), "id"))
+    grouped = _lattice(flagged, pieces).groupBy("unit", "odd", "hard").agg(F.sort_array(F.collect_list(key)).alias("keys"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    bounded = grouped.withColumn("bounds", F.when(~F.col("hard"), _bounds(F.length("unit"), F.col("keys"))))
+    easy = _pieces_between(F.col("unit"), F.col("bounds"), F.col("keys"), pieces.first_byte)
+    return bounded.select("unit", F.when(F.col("hard"), _long_unit(F.col("unit"), F.col("edges"), F.col("odd"), pieces.first_byte)).otherwise(easy).alias("ids"))
 
 
 def _tasks(spark: SparkSession) -> int:

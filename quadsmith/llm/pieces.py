@@ -42,6 +42,7 @@ HEAD = 300_000
 HEAD_SHARE = 16
 HEAD_CHARS = 32
 CODE_BYTES = 8 << 20
+TASK_UNITS = 50_000  # of which each has some tens of edges, which one task sorts in memory
 BITS = 61  # characters of a unit whose bounds fit into one long
 _SIGNS = r"\x00-@\[-`{-\x7f"
 _WHOLE = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
@@ -353,7 +354,8 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
     batches = coded(docs, pieces.pattern, head)
-    rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).repartition(_tasks(docs.sparkSession), "unit")
+    many = batches.agg(F.coalesce(F.sum(F.size("rest")), F.lit(0))).first()[0]
+    rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
     # all columns of rest are read, so that both sides of the join share one exchange
     different = rest.groupBy("unit").agg(F.max("batch").alias("b"), F.max("k").alias("m")).where("b >= 0 AND m >= 0").select("unit")
     found = Store(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("batch", "k", "ids"))

@@ -4,7 +4,7 @@ A solution is a set of bins. Crossover copies one parent, injects whole well-fil
 that then hold a document twice, and puts the documents so displaced back best-fit, longest first; mutation empties a
 few of the worst bins and puts their documents back likewise. Documents are dealt by hash into shards of about
 `SHARD_ITEMS`; each shard is evolved on `ISLANDS` islands, which after every epoch send their elite to the next island.
-A shard whose elite meets the lower bound, ceil(tokens / capacity), stops. Bins of the best solutions that stay poorly
+A shard whose elite meets a lower bound after a generation stops. Bins of the best solutions that stay poorly
 filled are packed again across shards, until one shard holds what is left or a level lowers neither the number of
 poorly packed pieces nor that of their bins by a tenth (`GAIN`); what is left then stays as that level laid it.
 """
@@ -28,8 +28,10 @@ CAPACITY = 2048
 SHARD_ITEMS = 20_000
 ISLANDS = 3
 EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 4
+GENERATIONS = 40  # at most, on an island in an epoch; a solution that meets the lower bound ends them after the first
+POPULATION = 6
+STALE = 12
+SMALL = 2_000  # items, up to which populations are whole from the start
 WELL_FILLED = 0.995
 POOR = 0.98
 GAIN = 0.1
@@ -70,18 +72,34 @@ def compact(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1]
 
 
-def put_back(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+def put_back(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, spread: float = 0.02) -> np.ndarray:
     """Bins without the loose items, then those best-fit, longest first (ties and near-ties in random order)."""
     out = np.full(len(bins), -1, np.int64)
     kept = np.ones(len(bins), dtype=bool)
     kept[loose] = False
     out[kept] = compact(bins[kept])
     room = (capacity - fill_of(out[kept], lengths[kept])).tolist() if kept.any() else []
-    order = loose[np.argsort(-lengths[loose] * (1 + 0.02 * rng.random(len(loose))), kind="stable")]
+    order = loose[np.argsort(-lengths[loose] * (1 + spread * rng.random(len(loose))), kind="stable")]
     best_fit(order, lengths, out, room, capacity)
     return out
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """Bins that any solution needs: items of over capacity - k each open one, and what those over half leave isn't room for
+    all others of at least k; the largest such count over all k (k = 0: the tokens alone)."""
+    if not len(lengths):
+        return 0
+    count = np.bincount(lengths, minlength=capacity + 1)
+    many, total = np.cumsum(count[::-1])[::-1], np.cumsum((count * np.arange(len(count)))[::-1])[::-1]  # of items >= k
+    many, total = np.append(many, 0), np.append(total, 0)
+    half = capacity // 2 + 1
+    k = np.arange(half)
+    alone = many[capacity - k + 1]  # with these no item of at least k fits
+    large, room = many[half] - alone, (many[half] - alone) * capacity - (total[half] - total[capacity - k + 1])
+    rest = total[k] - total[half]
+    return int((alone + large + np.maximum(0, -(-(rest - room) // capacity))).max())
+
+
 def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones: (-bins, sum of squared fills)."""
     fill = fill_of(bins, lengths) / capacity
@@ -92,10 +110,10 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     """Parent a with whole well-filled bins of parent b."""
     fill = fill_of(b, lengths)
     well = np.flatnonzero(fill >= WELL_FILLED * capacity)
-    if not len(well):
-        well = np.argsort(-fill)[: max(1, len(fill) // 4)]
+    if len(well) < len(fill) // 8 + 1:
+        well = np.argsort(-fill)[: len(fill) // 4 + 1]
     chosen = np.zeros(len(fill), dtype=bool)
-    chosen[well[rng.random(len(well)) < 0.5]] = True
+    chosen[well[rng.random(len(well)) < rng.uniform(0.1, 0.6)]] = True
     injected = chosen[b]
     broken = np.zeros(int(a.max()) + 1, dtype=bool)
     broken[a[injected]] = True
@@ -105,40 +123,50 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
 
 
 def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """The worst bins and some others are emptied and their items put back in a random order of near-sizes."""
     fill = fill_of(a, lengths)
-    worst = np.argsort(fill)[: max(2, len(fill) // 50)]
-    others = rng.integers(0, len(fill), max(1, len(fill) // 100))
+    worst = np.argsort(fill)[: 2 + len(fill) // 50]
+    others = rng.integers(0, len(fill), 1 + int(len(fill) * rng.uniform(0.01, 0.15)))
     emptied = np.zeros(len(fill), dtype=bool)
     emptied[worst] = emptied[others] = True
-    return put_back(a, np.flatnonzero(emptied[a]), lengths, capacity, rng)
+    return put_back(a, np.flatnonzero(emptied[a]), lengths, capacity, rng, rng.choice([0.02, 0.1, 0.3]))
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int) -> list[np.ndarray]:
-    """Some generations on one island; the first of what returns is its elite."""
+    """Some generations on one island, one at least; the first of what returns is its elite.
+
+    A new population is best-fit decreasing and best-fit in random orders. An island that comes with an elite that meets
+    the lower bound, or reaches it in its first or a later generation, returns that alone.
+    """
     rng = np.random.default_rng(seed)
-    bound = -(-int(lengths.sum()) // capacity)
+    bound = lower_bound(lengths, capacity)
     everything = np.arange(len(lengths))
     none = np.zeros(len(lengths), np.int64)
+    rank = lambda x: (x[0], -x[1])
     if not population:
-        bins = none.copy()
-        best_fit(everything[np.argsort(-lengths, kind="stable")], lengths, bins, [], capacity)
-        population = [bins]
-    scored = sorted(((fitness(p, lengths, capacity), i, p) for i, p in enumerate(population)), reverse=True, key=lambda x: x[:2])
+        population = [put_back(none, everything, lengths, capacity, rng, spread) for spread in (0.0, 0.02, 0.3, *([0.1] * (POPULATION - 3)))[: POPULATION if len(lengths) < SMALL else 2]]
+    else:
+        for p in population:
+            if -fitness(p, lengths, capacity)[0] <= bound:
+                return [p]
+    scored = sorted(((fitness(p, lengths, capacity), i, p) for i, p in enumerate(population)), reverse=True, key=rank)
+    made, stale = len(scored), 0
+    if len(scored) > 1:
+        for _ in range(GENERATIONS):
+            before = scored[0][0]
+            for _ in range(POPULATION // 2 if len(lengths) < SMALL else 1):
+                i, j = rng.choice(len(scored), 2, replace=False)
+                child = crossover(scored[i][2], scored[j][2], lengths, capacity, rng)
+                if -scored[0][0][0] > bound:
+                    child = mutate(child, lengths, capacity, rng)
+                made += 1
+                scored.append((fitness(child, lengths, capacity), made, child))
+            scored = sorted(scored, reverse=True, key=rank)[:POPULATION]
+            stale = 0 if scored[0][0] > before else stale + 1
+            if -scored[0][0][0] <= bound or stale >= STALE:
+                break
     if -scored[0][0][0] <= bound:
         return [scored[0][2]]
-    while len(scored) < POPULATION:
-        p = put_back(none, everything, lengths, capacity, rng)
-        scored.append((fitness(p, lengths, capacity), len(scored), p))
-    made = len(scored)
-    for _ in range(GENERATIONS):
-        for _ in range(POPULATION // 2):
-            i, j = rng.choice(len(scored), 2, replace=False)
-            child = mutate(crossover(scored[i][2], scored[j][2], lengths, capacity, rng), lengths, capacity, rng)
-            made += 1
-            scored.append((fitness(child, lengths, capacity), made, child))
-        scored = sorted(scored, reverse=True, key=lambda x: x[:2])[:POPULATION]
-        if -scored[0][0][0] <= bound:
-            return [scored[0][2]]
     return [p for _, _, p in scored]
 
 

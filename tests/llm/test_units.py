@@ -257,3 +257,41 @@ def test_tiles_find_equal_windows():
     assert got.tolist() == want
 
 
+
+
+def test_lower_bound_is_one_and_the_genetic_step_beats_best_fit():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        sizes = rng.integers(1, 11, rng.integers(1, 7))
+        least = min(len(set(a)) for a in itertools.product(range(len(sizes)), repeat=len(sizes)) if np.bincount(a, weights=sizes).max() <= 10)
+        assert packing.lower_bound(sizes, 10) <= least
+    a, b = rng.integers(550, 800, (2, 100))
+    lengths = np.concatenate([a, b, 2048 - a - b])  # triplets that fill 100 bins
+    plain = np.zeros(300, np.int64)
+    packing.best_fit(np.argsort(-lengths, kind="stable"), lengths, plain, [], 2048)
+    population = []
+    for epoch in range(3):
+        population = packing.evolve(lengths, population, 2048, epoch)
+    best = population[0]
+    assert packing.fill_of(best, lengths).max() <= 2048 and packing.lower_bound(lengths, 2048) == 100
+    assert best.max() + 1 <= plain.max() - 2  # at least three bins fewer
+
+
+def test_a_population_that_meets_the_bound_has_seen_a_generation(monkeypatch):
+    seen = []
+    real = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *x: seen.append(1) or real(*x))
+    assert len(packing.evolve(np.full(40, 1024), [], 2048, 1)) == 1 and seen
+
+
+def test_parts_of_words_are_the_words_ids():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file(tokens.WORD_BPE, TOKENIZERS)
+    library, own = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    texts = ["it's don't I'LL 'tis", "a<|endoftext|>b", "(Hello,World)!! x_y-z", "ÀÉÎ×÷ñÑ ß ÿŸ", "“quoted”, étude", "abc123 4,5", "İstanbul ıI", "\x00\x01 \x7f a\x7fb", "naïve-Été's", "#hash…tag 🎉,ok", "", "A" * 50 + "," + "B" * 3]
+    for _, _, buf, offs in arrays.text_slices(pa.array(texts)):
+        ids, cut = own.encode(buf, offs)
+        assert [ids[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]

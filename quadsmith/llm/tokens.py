@@ -1,7 +1,7 @@
 """Token ids of whole texts, and token counts from flat files.
 
 `WordTokenizer` gives exactly what the tokenizer file gives, but asks the library only for words it hasn't met: the
-word-level BPE never looks across ASCII white space, so a text's ids are its words' ids in a row.
+word-level BPE never looks across ASCII white space, nor from letters to signs, so a text's ids are its parts' in a row.
 
 Separator scan: flat files hold ids (little-endian, fixed width) of documents, each ended by a separator, and nothing
 else: no index and no lengths. Files are read in blocks, each block's separators are found by one vectorised comparison,
@@ -12,7 +12,6 @@ documents that cross block boundaries.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,14 +20,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import ragged, text_slices
+from .arrays import ragged, text_slices, word_bounds
 from .common import KEPT, TOKENIZERS, map_batches, release, shared_dir, tokenizer_file, written
 
 WORD_BPE = "word_bpe_49k.json"
 END_OF_TEXT = 49407
 BLOCK_TOKENS = 1 << 22
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)$")
 KIND = "tokens"
+_LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(128)] + [True] * 128)
+_UPPER = np.array([65 <= i <= 90 for i in range(256)])
+_WHOLE = np.array([chr(i) in "0123456789'<" for i in range(256)])  # contractions, digits and special tokens
+
+
+def apart(buf: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts with a space between letters and signs, which the pre-tokenizer separates too, letters in lower case.
+
+    Words of anything but ASCII signs, ASCII letters and Latin-1 letters stay as they are.
+    """
+    starts, ends, _ = word_bounds(buf, offs)
+    lead = np.zeros(len(buf) + 1, dtype=bool)
+    lead[:-1] = buf == 0xC3
+    second = np.concatenate([[False], lead[:-2]]) & (buf != 0x97) & (buf != 0xB7) if len(buf) else np.zeros(0, dtype=bool)
+    whole = _WHOLE[buf] | ((buf >= 128) & ~second & ~(lead[:-1] & np.append(second[1:], False)))
+    total = np.concatenate([[0], np.cumsum(whole, dtype=np.int32)])
+    plain = total[ends] == total[starts]
+    change = np.zeros(len(buf) + 1, np.int8)
+    change[starts[plain]] = 1
+    change[ends[plain]] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    low = buf + np.uint8(32) * (inside & (_UPPER[buf] | (second & (buf <= 0x9E))))
+    letter = _LETTER[buf]
+    cut = np.flatnonzero((letter[1:] != letter[:-1]) & inside[1:] & inside[:-1]) + 1
+    first = np.zeros(len(buf) + 1, dtype=bool)
+    first[starts] = True
+    cut = cut[~first[cut]]
+    return np.insert(low, cut, 32).tobytes(), offs + np.searchsorted(cut, offs)
 
 
 class WordTokenizer:
@@ -52,33 +78,13 @@ class WordTokenizer:
         self.lengths = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. One of Latin letters and closing signs is put together from its lower-cased letters and its
-        signs, which the pre-tokenizer separates too."""
-        whole, split = [], []
-        for w in words:
-            m = _LATIN.match(w.decode())
-            if m and (m[2] or m[1] != m[1].lower()):
-                split.append((w, m[1].lower().encode(), m[2].encode()))
-            else:
-                whole.append(w)
-        parts = {p for _, core, tail in split for p in (core, tail) if p}
-        self._ask(sorted(parts.difference(self.index).union(whole)))
-        empty = len(self.index)
-        a = np.array([self.index[core] for _, core, _ in split], np.int64)
-        b = np.array([self.index[tail] if tail else -1 for _, _, tail in split], np.int64)
-        pair_lengths = np.stack([self.lengths[a], np.where(b < 0, 0, self.lengths[b])], axis=1)
-        pair_starts = np.stack([self.starts[a], self.starts[b]], axis=1)
-        self._store([w for w, _, _ in split], pair_lengths.sum(axis=1), self.ids[ragged(pair_starts.ravel(), pair_lengths.ravel())])
-        assert len(self.index) == empty + len(split)
-
     def _ask(self, words: list[bytes]) -> None:
         plain = [w for w in words if b"<|" not in w]
         odd = [w for w in words if b"<|" in w]
         sizes, parts = [], []
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
-            got = np.array(self.splitter.encode(self.mark.join(w.decode() for w in part) + self.mark, add_special_tokens=False).ids, np.int64)
+            got = np.array(self.splitter.encode_batch_fast([self.mark.join(w.decode() for w in part) + self.mark], add_special_tokens=False)[0].ids, np.int64)
             cut = np.flatnonzero(got == END_OF_TEXT)
             sizes.append(np.diff(cut, prepend=-1) - 1)
             parts.append(got[got != END_OF_TEXT])
@@ -105,7 +111,7 @@ class WordTokenizer:
         """All ids of the texts buf[offs[i]:offs[i+1]], and each text's first place in them (one more than texts)."""
         if len(self.index) > self.limit:
             self.clear()
-        raw = buf.tobytes()
+        raw, offs = apart(buf, offs)
         words: list[bytes] = []
         counts = np.zeros(len(offs), np.int64)
         for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
@@ -113,7 +119,7 @@ class WordTokenizer:
             counts[i + 1] = len(words)
         new = set(words).difference(self.index)
         if new:
-            self._learn(sorted(new))
+            self._ask(sorted(new))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -202,10 +208,11 @@ def scan_flat(spark: SparkSession, folder: str, separator: int = END_OF_TEXT, dt
 def token_counts(docs: DataFrame, folder: str | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
     """doc_id, n_tokens: texts are written as flat token files and counted from those files alone.
 
-    Null and empty texts have 0 tokens; repeated rows and null ids keep a row each; an empty table gives no rows.
+    Null and empty texts have 0 tokens; repeated rows and null ids keep a row each; an empty table gives no rows; other
+    columns, of whatever names, are not read. Both sides of the join grow with the table, hence neither is broadcast.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     manifest = write_flat(docs, folder, tokenizers)
     counts = scan_flat(spark, folder)
-    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return manifest.join(counts.hint("shuffle_merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

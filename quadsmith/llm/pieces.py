@@ -34,14 +34,15 @@ from pyspark.sql import functions as F
 
 from .arrays import ragged
 from .batches import ROW_BITS, Store
-from .common import TOKENIZERS, map_batches, release, shared_dir, tokenizer_file
+from .common import TOKENIZERS, map_batches, release, shared_dir, tokenizer_file, written
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-HEAD = 300_000
-HEAD_SHARE = 16
+HEAD = 450_000
+HEAD_SHARE = 4
 HEAD_CHARS = 32
-CODE_BYTES = 8 << 20
+CODE_BYTES = 16 << 20
+PACKED = 15  # bits of an id where up to four travel in one long
 TASK_UNITS = 50_000  # of which each has some tens of edges, which one task sorts in memory
 BITS = 61  # characters of a unit whose bounds fit into one long
 _SIGNS = r"\x00-@\[-`{-\x7f"
@@ -278,11 +279,39 @@ class Head:
 def head_of(docs: DataFrame, pieces: PieceTable) -> Head:
     """The most frequent units of a sample of the texts, encoded."""
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"), pieces.pattern)).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
-    common = sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD).select("unit")
-    made = encode_units(common.repartition(_tasks(docs.sparkSession), "unit"), pieces).toArrow()  # at most HEAD rows
+    common = written(sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD))
+    ids = encode_units(common.select("unit").repartition(_tasks(docs.sparkSession), "unit"), pieces)
+    made = ids.join(common, "unit").toArrow().sort_by([("n", "descending"), ("unit", "ascending")])  # at most HEAD rows
     return Head(made.column("unit").to_pylist(), made.column("ids").to_pylist())
 
 
+def _packed(ids: Column) -> Column:
+    """Up to four ids in one long behind a 1; null for more."""
+    return F.when(F.size(ids) <= 4, F.aggregate(ids, _long(1), lambda x, i: x * (1 << PACKED) + i))
+
+
+def _unpacked(packed: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids, and all ids in a row."""
+    lists = ids.combine_chunks()
+    long = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    some = np.asarray(packed.combine_chunks().fill_null(0), np.int64)
+    few = sum((some >> (PACKED * k) > 1).astype(np.int64) for k in range(4))
+    sizes = long + few
+    out = np.zeros(int(sizes.sum()), np.int32)
+    at = np.cumsum(sizes) - sizes
+    for k in range(4):
+        own = np.flatnonzero(few > k)
+        out[at[own] + k] = some[own] >> (PACKED * (few[own] - 1 - k)) & ((1 << PACKED) - 1)
+    own = np.flatnonzero(long)
+    out[ragged(at[own], long[own])] = lists.flatten().to_numpy()
+    return sizes, out
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """First all lowest bytes, then all second ones, and so on: what is alike stands together."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFrame:
     """Write docs (doc_id, text) as batches of numbers of units: those of the head first, then the batch's own `rest`.
 
@@ -298,7 +327,7 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
 
         def row() -> pa.RecordBatch:
             nonlocal number, codes, rest, rows, have
-            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([np.concatenate(codes).tobytes() if codes else b""], pa.binary()), pa.array([list(rest)], pa.list_(pa.string()))]
+            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([_planes(np.concatenate(codes))], pa.binary()), pa.array([list(rest)], pa.list_(pa.string()))]
             number, codes, rest, rows, have = number + 1, [], {}, [], 0
             return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n_units", "crc32", "codes", "rest"])
 
@@ -358,7 +387,8 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
     # all columns of rest are read, so that both sides of the join share one exchange
     different = rest.groupBy("unit").agg(F.max("batch").alias("b"), F.max("k").alias("m")).where("b >= 0 AND m >= 0").select("unit")
-    found = Store(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("batch", "k", "ids"))
+    packed = _packed(F.col("ids")) if len(pieces.codes()[1]) <= 1 << PACKED else F.lit(None).cast("long")
+    found = Store(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("batch", "k", packed.alias("packed"), F.when(packed.isNull(), F.col("ids")).alias("ids")))
     codes = pieces.codes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -368,13 +398,12 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
             sizes, flat = own.sizes, own.ids
             if rows is not None:
                 rows = rows.sort_by("k")
-                lists = rows.column("ids").combine_chunks()
-                if len(lists) != len(rest):
-                    raise RuntimeError(f"batch {number}: {len(lists)} encodings for {len(rest)} units")
-                sizes = np.concatenate([sizes, np.diff(lists.offsets.to_numpy())])
-                flat = np.concatenate([flat, lists.flatten().to_numpy()])
+                if rows.num_rows != len(rest):
+                    raise RuntimeError(f"batch {number}: {rows.num_rows} encodings for {len(rest)} units")
+                more, ids = _unpacked(rows.column("packed"), rows.column("ids"))
+                sizes, flat = np.concatenate([sizes, more]), np.concatenate([flat, ids])
             starts = np.cumsum(sizes) - sizes
-            used = np.frombuffer(raw.as_buffer(), "<u4")
+            used = np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
             parts = [flat[ragged(starts[x], sizes[x])] for a in range(0, len(used), 1 << 18) for x in [used[a : a + (1 << 18)]]]
             ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             count = np.asarray(n_units.values, np.int64)

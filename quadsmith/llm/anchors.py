@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import covered, span_hashes, text_slices, window_hashes, word_bounds
 from .batches import BUCKET_KEYS, PACKED, Verdicts, each, exchange, freeze, pack_keys, thaw
+from .common import release, trim
 
 WINDOW = 35
 BLOCK_BITS = 44
@@ -156,13 +157,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, text_col: str = "text")
     at, out = docs.columns.index(text_col), to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
+        release()
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = thaw(data)
                 words, removed = repeated(number, rows.column(at))
-                old = rows.column(at).to_pylist()
-                new = [kept.decode() if n else old[row] for row, _, n, kept in kept_words(words, removed)]
+                old = rows.column(at)
+                new = [kept.decode() if n else old[row].as_py() for row, _, n, kept in kept_words(words, removed)]
+                del words, removed
+                trim()
                 yield pa.RecordBatch.from_arrays([(pa.array(new, out.field(i).type) if i == at else c).cast(out.field(i).type) for i, c in enumerate(rows.columns)], schema=out)
 
     return frozen.select("batch", "data").mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .anchors import Words
 from .arrays import mix, ragged, window_hashes
 from .batches import ROW_BITS, Store, each, freeze
-from .common import map_batches, trim, written
+from .common import map_batches, release, trim, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -331,6 +331,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     out = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 want = kept.of(number)

@@ -4,10 +4,12 @@ For every language a suffix automaton of labelled text is built; a text is parse
 occur in that text, each phrase starting where the last one ended. The language that needs the fewest phrases a byte
 wins (the Ziv-Merhav estimate of cross entropy, up to a factor all languages share).
 
-Fitting takes a bounded sample: `SAMPLE_ROWS` labelled rows a language, chosen by hash, and at most `SAMPLE_BYTES` of
-their text. Parsing covers whole texts. Texts are cut into segments of `SEGMENT` bytes that are parsed side by side,
-with one table lookup a byte and language; a cut ends a phrase, in every language alike. Letters are lower-cased (ASCII),
-digits, signs and white space are one symbol.
+Fitting takes a bounded sample: at most `SAMPLE_ROWS` labelled rows a language, chosen by hash among those of at most an
+eighth of `SAMPLE_BYTES`, whole texts as long as they hold together no more than `SAMPLE_BYTES`. Parsing covers whole
+texts, each in one run: segments of `SEGMENT` bytes are parsed side by side, with one table lookup a byte and language,
+each as if a phrase began there; then each is parsed once more from the state that the one before it ended in, until both
+parses begin a phrase at one place, from where on they are the same. Letters are lower-cased (ASCII), digits, signs and
+white space are one symbol.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .arrays import ragged, text_slices
 from .common import map_batches, release
 
 SAMPLE_ROWS = 48
-SAMPLE_BYTES = 24_000
+SAMPLE_BYTES = 32_000
 SEGMENT = 256
 UND = "und"
 _FOLD = np.array([i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], np.uint8)
@@ -88,47 +90,83 @@ class CrossParser:
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """[language, text]: how many phrases end in each text's segments (the last one of a segment counts)."""
+        """[language, text]: how many phrases each text is parsed into."""
         sizes = np.diff(offs)
         pieces = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(sizes)), pieces)
-        starts = offs[owner] + (ragged(np.zeros(len(sizes), np.int64), pieces)) * SEGMENT
+        number = ragged(np.zeros(len(sizes), np.int64), pieces)
+        starts = offs[owner] + number * SEGMENT
         lengths = np.minimum(SEGMENT, offs[owner + 1] - starts)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, owner = starts[order], lengths[order], owner[order]
         code = self.code[buf].astype(np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(starts), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        alive = np.searchsorted(-lengths, -np.arange(SEGMENT), side="left")  # segments longer than each step
-        for step in range(int(lengths[0]) if len(lengths) else 0):
+        count, ends, begins = self._apart(code, starts, lengths)
+        self._carried(code, starts, lengths, number, count, ends, begins)
+        return np.stack([np.bincount(owner, weights=c, minlength=len(sizes)).astype(np.int64) for c in count]) if self.languages else np.zeros((0, len(sizes)), np.int64)
+
+    def _apart(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parse segments by themselves: phrases that begin in each, states at their ends, and whether a phrase begins at each byte."""
+        order = np.argsort(-lengths, kind="stable")
+        at, size = starts[order], lengths[order]
+        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(at), axis=1)
+        begins = np.zeros((len(self.roots), len(code)), np.int8)
+        alive = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # segments longer than each step
+        for step in range(int(size[0]) if len(size) else 0):
             n = int(alive[step])
-            here = state[:, :n]
-            to = self.table[here + code[starts[:n] + step]]
+            here = at[:n] + step
+            to = self.table[state[:, :n] + code[here]]
             ended = to >> 31
-            count[:, :n] -= ended
             state[:, :n] = to ^ ended
-        out = np.zeros((len(self.languages), len(sizes)), np.int64)
-        for k in range(len(self.languages)):
-            out[k] = np.bincount(owner, weights=count[k] + 1, minlength=len(sizes))
-        return out
+            begins[:, here] = ended
+        begins = -begins
+        begins[:, starts] = 1
+        ends = np.empty_like(state)
+        ends[:, order] = state
+        count = np.add.reduceat(begins, starts, axis=1, dtype=np.int32) if len(starts) else np.zeros(state.shape, np.int32)
+        return count, ends, begins
+
+    def _carried(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, number: np.ndarray, count: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> None:
+        """Turn count and ends into those of whole texts, a round for all segments whose predecessor's end is new."""
+        alone, first, total = count.copy(), ends.copy(), np.concatenate([np.zeros((len(begins), 1), np.int32), np.cumsum(begins, axis=1, dtype=np.int32)], axis=1)
+        language, segment = np.nonzero(np.broadcast_to(number > 0, count.shape))
+        while len(segment):
+            state = ends[language, segment - 1]
+            old = ends[language, segment].copy()
+            met = np.full(len(segment), -1, np.int64)  # bytes parsed once more, the last of which begins a phrase in both parses
+            fresh = np.zeros(len(segment), np.int32)
+            open_at = np.arange(len(segment))
+            for step in range(SEGMENT):
+                open_at = open_at[lengths[segment[open_at]] > step]
+                if not len(open_at):
+                    break
+                here = starts[segment[open_at]] + step
+                to = self.table[state[open_at] + code[here]]
+                ended = to >> 31
+                state[open_at] = to ^ ended
+                fresh[open_at] -= ended
+                same = (ended < 0) & (begins[language[open_at], here] > 0)
+                met[open_at[same]] = step + 1
+                open_at = open_at[~same]
+            done = met >= 0
+            where = starts[segment] + np.maximum(met, 0)
+            count[language, segment] = np.where(done, fresh + alone[language, segment] - (total[language, where] - total[language, starts[segment]]), fresh)
+            whole = np.where(done, first[language, segment], state)
+            ends[language, segment] = whole
+            new = (whole != old) & (segment + 1 < len(number))
+            language, segment = language[new], segment[new] + 1
+            inside = number[segment] > 0
+            language, segment = language[inside], segment[inside]
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> CrossParser:
-    """From columns doc_id, text, lang: the first `rows` documents of each language in the order of a hash of doc_id."""
-    keyed = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    """From columns doc_id, text, lang: at most `rows` whole documents and `size` bytes of each language, by a hash of doc_id."""
+    keyed = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.octet_length("text") <= size // 8)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = keyed.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("lang", "doc_id")
-    ids = [r[1] for r in picked.collect()]  # at most `rows` for each language
-    texts: dict[str, list[str]] = {}
-    part = keyed.where(F.col("doc_id").isin(ids)).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, size).alias("text"))
-    for r in sorted(part.collect() if ids else [], key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    sample: dict[str, bytes] = {}
-    for language, own in texts.items():
-        share = max(1, size // len(own))
-        cut = [t.encode()[: max(share, 200)] for t in own]
-        sample[language] = b"\n".join(cut)[:size]
-    return CrossParser(sample)
+    ids = keyed.groupBy("lang", "doc_id").agg(F.max(F.octet_length("text")).alias("n")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows)
+    picked = ids.withColumn("n", F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("n") <= size)
+    wanted = [r[0] for r in picked.select("doc_id").collect()]  # at most `rows` for each language
+    texts: dict[str, dict[int, str]] = {}
+    for r in keyed.where(F.col("doc_id").isin(wanted)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect() if wanted else []:
+        texts.setdefault(r["lang"], {})[r["doc_id"]] = r["text"]
+    return CrossParser({language: b"\n".join(own[k].encode() for k in sorted(own)) for language, own in texts.items()})
 
 
 def has_letter(column: pa.Array, buf: np.ndarray, offs: np.ndarray, first: int) -> np.ndarray:
@@ -175,7 +213,10 @@ def predict(parser: CrossParser, column: pa.Array) -> tuple[list[str], list[floa
 
 
 def recognised(docs: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with all columns, without the rows in no language; the language found replaces what `lang_col` said."""
+    """docs with all columns, without the rows in no language; the language found replaces what `lang_col` said.
+
+    Rows of null, empty or letterless text go; repeated rows stay; null ids stay null; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
@@ -201,7 +242,11 @@ def fit_unheld(docs: DataFrame) -> CrossParser:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: fitted on the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score: fitted on the rows that aren't held out.
+
+    Null, empty and letterless texts are `und`; ties go to the language first in the alphabet; repeated rows give equal
+    rows; a null id is not held out; an empty table gives no rows; columns but doc_id, text and lang are not read.
+    """
     parser = fit_unheld(docs)
     found = identify(docs, parser)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

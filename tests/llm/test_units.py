@@ -295,3 +295,20 @@ def test_parts_of_words_are_the_words_ids():
     for _, _, buf, offs in arrays.text_slices(pa.array(texts)):
         ids, cut = own.encode(buf, offs)
         assert [ids[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_phrases_go_on_across_segments():
+    rng = random.Random(2)
+    sample = {k: "".join(rng.choice(k * 3 + "abcdefgh ") for _ in range(3000)).encode() for k in ("de", "fr")}
+    parser = language.CrossParser(sample)
+    texts = ["", "a", sample["de"].decode() * 2, sample["fr"][500:1800].decode() + "!?" * 300, "".join(rng.choice("abcdexyé ") for _ in range(5000)), "é" * 700]
+    raw = [t.encode() for t in texts]
+    got = parser.phrases(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, text in enumerate(raw):
+        for k, root in enumerate(parser.roots):
+            state, n = root, min(1, len(text))
+            for c in parser.code[np.frombuffer(text, np.uint8)].tolist():
+                state = int(parser.table[state + c])
+                if state < 0:
+                    state, n = ~state, n + 1
+            assert got[k, i] == n

@@ -16,6 +16,9 @@ _R = 0x9E3779B97F4A7C15 | 1  # odd, hence invertible modulo 2**64
 _R_INV = pow(_R, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Values of bytes in polynomial hashes. Their lowest bytes differ, so that strings of two symbols of fewer than 1024 places
+#: that agree in no place differ in their sums, in whatever pattern.
+BYTES = (np.random.default_rng(99).integers(0, 1 << 55, 256).astype(_U) << _U(8)) | np.arange(256, dtype=_U)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -74,10 +77,18 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of buf[start:end] for every span, from one prefix sum."""
-    total = np.zeros(len(buf) + 1, dtype=_U)
-    np.cumsum((buf.astype(_U) + _U(1)) * powers(_R, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_R_INV, len(buf) + 1)[starts] ^ ((ends - starts).astype(_U) << _U(48)))
+    """A 64-bit hash of buf[start:end] for every span (sorted, none overlapping another).
+
+    The sum of a mixed value of each byte and its place in the span: no polynomial, whose sums modulo 2**64 agree for some
+    different spans of 1024 bytes.
+    """
+    n = len(buf)
+    place = np.zeros(n, np.int64)
+    place[starts] = np.diff(starts, prepend=0)
+    place = np.arange(n) - np.cumsum(place)
+    total = np.zeros(n + 1, dtype=_U)
+    np.cumsum(mix((place * 257 + buf).astype(_U) + _U(_R)), out=total[1:])
+    return mix(total[ends] - total[starts] ^ ((ends - starts).astype(_U) << _U(48)))
 
 
 def window_hashes(values: np.ndarray, k: int, salt: int = 0) -> np.ndarray:

@@ -11,6 +11,11 @@ windows have owners at equal distances, hence
   bytes. Their suffix array comes from the linear grouping construction below; neighbours that share `TILE` symbols
   are equal windows of 400 bytes.
 
+Beside that, `n_passage_bytes` counts the bytes in shared passages, which may be shorter than a window: places of 64 bytes
+chosen by hash (one of 64) that stand elsewhere too are extended to `PASSAGE` bytes around them, at four offsets, and
+those strings are looked for elsewhere. All that is counted stands at two places; a shared passage of 330 bytes has no
+such place in it with probability 0.02, longer ones more seldom.
+
 Cores with too many different strings for one task are not put into a suffix array but resolved window by window
 through another exchange, with the same results. The exchanges compare 64-bit hashes.
 """
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import cells, mix, prefix_totals, ragged, range_hashes, text_slices, window_hashes
+from .arrays import BYTES, cells, covered, mix, prefix_totals, ragged, range_hashes, text_slices, window_hashes
 from .batches import BUCKET_KEYS, PACKED, Store, each, exchange, freeze, pack_keys
 from .common import map_batches, trim
 
@@ -35,6 +40,7 @@ TILE = 16
 HOT_PLACES = 1000
 HOT_LOCAL = 256
 CHUNK_SYMBOLS = 100_000
+PASSAGE = 256
 _U = np.uint64
 
 
@@ -161,19 +167,23 @@ def repeated_windows(keys: np.ndarray, left: list[bytes], right: list[bytes], ma
 
 def find_cells(column: pa.Array, window: int, owner: int) -> dict[str, np.ndarray]:
     """Cells of all texts of a batch: owner's place, first and last window start (in the batch's bytes), two hashes."""
-    out: dict[str, list] = {"owner": [], "first": [], "last": [], "h": [], "u": []}
+    out: dict[str, list] = {"owner": [], "first": [], "last": [], "h": [], "u": [], "a": [], "ah": []}
     base = 0
     for _, _, buf, offs in text_slices(column):
-        values = buf.astype(_U) + _U(1)
+        values = BYTES[buf]
         hashes = window_hashes(values, owner)
         o, f, z = cells(hashes, offs, owner, window)
         total = prefix_totals(values)
         for k, x in (("owner", o + base), ("first", f + base), ("last", z + base)):
             out[k].append(x.astype(np.int32))
         out["h"].append(hashes[o])
+        at = np.flatnonzero(hashes >> _U(58) == 0)
+        at = at[at + owner <= offs[np.searchsorted(offs, at, side="right")]]
+        out["a"].append((at + base).astype(np.int32))
+        out["ah"].append(hashes[at])
         out["u"].append(mix(range_hashes(total, f, z + window) ^ mix(hashes[o] + (o - f).astype(_U))))
         base += len(buf)
-    return {k: np.concatenate(v) if v else np.zeros(0, np.int32 if k in ("owner", "first", "last") else _U) for k, v in out.items()}
+    return {k: np.concatenate(v) if v else np.zeros(0, np.int32 if k in ("owner", "first", "last", "a") else _U) for k, v in out.items()}
 
 
 def _pack(columns: dict[str, np.ndarray]) -> dict:
@@ -187,6 +197,8 @@ def _unpack(rows: pa.Table | None, kinds: dict[str, type]) -> dict[str, np.ndarr
 
 
 _CELL = {"owner": np.int32, "first": np.int32, "last": np.int32, "h": _U, "u": _U}
+_ANCHOR = {"a": np.int32, "ah": _U}
+_PASSAGE = {"start": np.int32, "key": _U}
 _TILE = {"core": _U, "string": _U, "at": np.int32, "left": np.uint8, "right": np.uint8}
 
 
@@ -211,7 +223,7 @@ class Batch:
         for base, buf in self.slices:
             here = np.flatnonzero((starts >= base) & (starts < base + len(buf)))
             if len(here):
-                out[here] = range_hashes(prefix_totals(buf.astype(_U) + _U(1)), starts[here] - base, ends[here] - base)
+                out[here] = range_hashes(prefix_totals(BYTES[buf]), starts[here] - base, ends[here] - base)
         return out
 
 
@@ -231,6 +243,15 @@ def cut_tiles(batch: Batch, cell: dict[str, np.ndarray], window: int) -> dict[st
     return {"core": core, "string": string, "at": at.astype(np.int32), "left": left.astype(np.uint8), "right": right.astype(np.uint8)}
 
 
+def passages(batch: Batch, anchors: np.ndarray) -> dict[str, np.ndarray]:
+    """Strings of `PASSAGE` bytes inside a text around each anchor, at four offsets: their starts and hashes."""
+    text = np.searchsorted(batch.bounds, anchors, side="right") - 1
+    start = anchors[:, None] - OWNER * np.arange(PASSAGE // OWNER)
+    inside = (start >= batch.bounds[text][:, None]) & (start + PASSAGE <= batch.bounds[text + 1][:, None])
+    start = np.unique(start[inside])
+    return {"start": start.astype(np.int32), "key": batch.hashes(start, start + PASSAGE)}
+
+
 def _suffix_rows(rows: pa.Table) -> pa.Table:
     """Solve one bucket of tile strings; masks come back batch by batch in the order sent."""
     counts = rows.column("n").to_pylist()
@@ -253,26 +274,26 @@ def _suffix_rows(rows: pa.Table) -> pa.Table:
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, text_col: str = "text"):
-    """Freeze docs; return the frozen batches and a function (number, column) -> (Batch, which bytes are repeated)."""
+    """Freeze docs; return the frozen batches and a function (number, column) -> (Batch, which bytes are repeated, which are in shared passages)."""
     frozen = freeze(docs, text_col)
     size = frozen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets, solvers = 1 + size // (100 * BUCKET_KEYS), 1 + size // (8 << 20)
+    buckets, solvers = 1 + size // (50 * BUCKET_KEYS), 1 + size // (8 << 20)
     text_at = docs.columns.index(text_col)
     binary = lambda kinds: "".join(f", {k} binary" for k in kinds)
-    found = Store(each(frozen, lambda number, rows: iter([{"batch": [number]} | _pack(find_cells(rows.column(text_at), window, OWNER))]), "batch long" + binary(_CELL)))
+    found = Store(each(frozen, lambda number, rows: iter([{"batch": [number]} | _pack(find_cells(rows.column(text_at), window, OWNER))]), "batch long" + binary(_CELL | _ANCHOR)))
     numbers = frozen.select("batch")
 
     def each_batch(fn) -> DataFrame:
         return map_batches(numbers, lambda batch: (part for number in batch.column(0).to_pylist() for part in fn(number)), PACKED)
 
-    def by_key(name: str):
+    def by_key(name: str, kinds: dict[str, type], store: Store):
         def fn(number: int) -> Iterator[dict]:
-            distinct, counts = np.unique(_unpack(found.of(number), _CELL)[name], return_counts=True)
+            distinct, counts = np.unique(_unpack(store.of(number), kinds)[name], return_counts=True)
             yield pack_keys(number, distinct, np.zeros(len(distinct), dtype=bool), counts > 1, buckets, 64)
 
         return exchange(each_batch(fn))
 
-    owners, whole = by_key("h"), by_key("u")
+    owners, whole, anchors = by_key("h", _CELL, found), by_key("u", _CELL, found), by_key("ah", _ANCHOR, found)
 
     def judged(number: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Cells whose owner stands elsewhere too; which of them are whole repeats; which are the first such here."""
@@ -296,9 +317,13 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
         cell, same, leads = judged(number)
         keys, which = np.unique(cell["h"], return_inverse=True)
         fine = ~same | (leads & doubts.of(number, len(keys))[1][which])  # a whole repeat is needed once, as a partner
-        yield {"batch": [number]} | _pack(cut_tiles(Batch(rows.column(text_at)), {k: v[fine] for k, v in cell.items()}, window))
+        batch, anchor = Batch(rows.column(text_at)), _unpack(found.of(number), _ANCHOR)
+        keys, which = np.unique(anchor["ah"], return_inverse=True)
+        near = anchor["a"][anchors.of(number, len(keys))[0][which]].astype(np.int64)
+        yield {"batch": [number]} | _pack(cut_tiles(batch, {k: v[fine] for k, v in cell.items()}, window)) | _pack(passages(batch, near))
 
-    tiled = Store(each(frozen, tiles, "batch long" + binary(_TILE)))
+    tiled = Store(each(frozen, tiles, "batch long" + binary(_TILE | _PASSAGE)))
+    shared_passages = by_key("key", _PASSAGE, tiled)
 
     def distinct_strings(tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First tile of each distinct string, in the order of cores; each tile's string; which stand here twice."""
@@ -364,7 +389,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
 
     single = exchange(each(frozen, windows, PACKED))
 
-    def repeated(number: int, column: pa.Array) -> tuple[Batch, np.ndarray]:
+    def repeated(number: int, column: pa.Array) -> tuple[Batch, np.ndarray, np.ndarray]:
         batch = Batch(column)
         change = np.zeros(batch.size + 1, np.int32)
         cell, same, _ = judged(number)
@@ -383,13 +408,16 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
         for s in starts:
             np.add.at(change, s, 1)
             np.add.at(change, s + window, -1)
-        return batch, np.cumsum(change[:-1]) > 0
+        passage = _unpack(tiled.of(number), _PASSAGE)
+        distinct, which = np.unique(passage["key"], return_inverse=True)
+        start = passage["start"][shared_passages.of(number, len(distinct))[0][which]].astype(np.int64)
+        return batch, np.cumsum(change[:-1]) > 0, covered(batch.size, start, PASSAGE)
 
     return frozen, repeated
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes of every row of docs.
 
     Null text is empty; repeated rows are each other's copies and lose all they have from `window` bytes on; shorter
     texts stay whole; null ids stay null; an empty table gives no rows; other columns are not read.
@@ -397,16 +425,17 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     frozen, repeated = repeated_bytes(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), window)
 
     def run(number: int, rows: pa.RecordBatch) -> Iterator[dict]:
-        batch, gone = repeated(number, rows.column(1))
+        batch, gone, shared = repeated(number, rows.column(1))
         data, bounds = batch.bytes(), batch.bounds
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         opens[bounds[:-1][bounds[:-1] < batch.size]] |= gone[bounds[:-1][bounds[:-1] < batch.size]]
         n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])
         n_spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[bounds])
+        n_passage = np.diff(np.concatenate([[0], np.cumsum(shared)])[bounds])
         digests = []
         for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist()):
             digests.append(hashlib.sha256(data[a:b] if not n else data[a:b][~gone[a:b]]).hexdigest())
-        yield {"doc_id": rows.column(0), "n_bytes": np.diff(bounds), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": digests}
+        yield {"doc_id": rows.column(0), "n_bytes": np.diff(bounds), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": digests, "n_passage_bytes": n_passage}
 
-    return each(frozen, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return each(frozen, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")

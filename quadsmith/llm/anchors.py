@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import covered, span_hashes, text_slices, window_hashes, word_bounds
 from .batches import BUCKET_KEYS, PACKED, Verdicts, each, exchange, freeze, pack_keys, thaw
-from .common import release, trim
+from .common import bounded, release, trim
 
 WINDOW = 35
 BLOCK_BITS = 44
@@ -168,4 +168,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, text_col: str = "text")
                 trim()
                 yield pa.RecordBatch.from_arrays([(pa.array(new, out.field(i).type) if i == at else c).cast(out.field(i).type) for i, c in enumerate(rows.columns)], schema=out)
 
-    return frozen.select("batch", "data").mapInArrow(run, docs.schema)
+    return bounded(frozen.select("batch", "data")).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import text_slices
-from .common import map_batches, release, shared_dir, trim
+from .common import bounded, map_batches, release, shared_dir, trim
 
 BATCH_BYTES = 2 << 20
 ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
@@ -61,7 +61,7 @@ def freeze(df: DataFrame, text_col: str = "text", size: int = BATCH_BYTES) -> Da
             yield row()
 
     path = shared_dir(df.sparkSession)
-    out = df.mapInArrow(run, "batch long, n_bytes long, data binary")
+    out = bounded(df).mapInArrow(run, "batch long, n_bytes long, data binary")
     out.write.option("parquet.block.size", 2 * size).parquet(path)
     return df.sparkSession.read.schema(out.schema).parquet(path)
 

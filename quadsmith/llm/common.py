@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, shared_dir, written
 
-__all__ = ["KEPT", "checkpoint_dir", "map_batches", "release", "shared_dir", "table", "tokenizer_file", "trim", "written"]
+__all__ = ["KEPT", "bounded", "checkpoint_dir", "map_batches", "release", "shared_dir", "table", "tokenizer_file", "trim", "written"]
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -26,6 +26,18 @@ def trim() -> None:
         pass
 
 
+#: Bytes of rows that go to a Python worker at once; Spark's own limit lets a batch be as large as a whole partition.
+BATCH_LIMIT = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes too (where the session says nothing about that)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, BATCH_LIMIT)
+    return df
+
+
 #: What a worker process keeps from task to task, by the kind of task.
 KEPT: dict[str, object] = {}
 
@@ -59,7 +71,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
             trim()
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import ragged, text_slices
-from .common import map_batches, release
+from .common import bounded, map_batches, release
 
 SAMPLE_ROWS = 48
 SAMPLE_BYTES = 32_000
@@ -228,7 +228,7 @@ def recognised(docs: DataFrame, parser: CrossParser, text_col: str = "text", lan
             new = batch.set_column(lang_at, batch.schema.field(lang_at), found.cast(batch.column(lang_at).type))
             yield new.filter(pa.compute.not_equal(found, UND))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

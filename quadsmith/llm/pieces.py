@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrays import ragged
 from .batches import ROW_BITS, Store
-from .common import TOKENIZERS, map_batches, release, shared_dir, tokenizer_file, written
+from .common import TOKENIZERS, bounded, map_batches, release, shared_dir, tokenizer_file, written
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -347,7 +347,7 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
             yield row()
 
     path = shared_dir(docs.sparkSession)
-    out = docs.mapInArrow(run, "batch long, doc_id array<long>, n_units array<long>, crc32 array<long>, codes binary, rest array<string>")
+    out = bounded(docs).mapInArrow(run, "batch long, doc_id array<long>, n_units array<long>, crc32 array<long>, codes binary, rest array<string>")
     out.write.option("compression", "zstd").option("parquet.block.size", size).parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, release
+from .common import bounded, map_batches, release
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.ASCII)
@@ -278,4 +278,4 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = [redact(t, spans) if (spans := secret_spans(t)[1]) else t for t in texts]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, type=batch.column(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

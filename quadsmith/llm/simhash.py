@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .anchors import Words
 from .arrays import mix, ragged, window_hashes
 from .batches import ROW_BITS, Store, each, freeze
-from .common import map_batches, release, trim, written
+from .common import bounded, map_batches, release, trim, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -339,4 +339,4 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     part = thaw(data).take(pa.array(np.sort(want.column("row").to_numpy())))
                     yield pa.RecordBatch.from_arrays([c.cast(out.field(i).type) for i, c in enumerate(part.columns)], schema=out)
 
-    return frozen.select("batch", "data").mapInArrow(run, docs.schema)
+    return bounded(frozen.select("batch", "data")).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import ragged, text_slices, word_bounds
-from .common import KEPT, TOKENIZERS, map_batches, release, shared_dir, tokenizer_file, written
+from .common import KEPT, TOKENIZERS, bounded, map_batches, release, shared_dir, tokenizer_file, written
 
 WORD_BPE = "word_bpe_49k.json"
 END_OF_TEXT = 49407
@@ -161,7 +161,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, separ
                 n += count
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return written(columns.mapInArrow(run, "file string, ordinal long, doc_id long"))
+    return written(bounded(columns).mapInArrow(run, "file string, ordinal long, doc_id long"))
 
 
 def scan_flat(spark: SparkSession, folder: str, separator: int = END_OF_TEXT, dtype: str = "<u2", block: int = BLOCK_TOKENS) -> DataFrame:

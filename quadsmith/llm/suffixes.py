@@ -180,7 +180,7 @@ def find_cells(column: pa.Array, window: int, owner: int) -> dict[str, np.ndarra
         at = np.flatnonzero(hashes >> _U(58) == 0)
         at = at[at + owner <= offs[np.searchsorted(offs, at, side="right")]]
         out["a"].append((at + base).astype(np.int32))
-        out["ah"].append(hashes[at])
+        out["ah"].append(hashes[at] << _U(6))  # buckets are ranges of keys
         out["u"].append(mix(range_hashes(total, f, z + window) ^ mix(hashes[o] + (o - f).astype(_U))))
         base += len(buf)
     return {k: np.concatenate(v) if v else np.zeros(0, np.int32 if k in ("owner", "first", "last", "a") else _U) for k, v in out.items()}

@@ -41,7 +41,7 @@ SPACE = "▁"
 HEAD = 450_000
 HEAD_SHARE = 4
 HEAD_CHARS = 32
-CODE_BYTES = 16 << 20
+CODE_BYTES = 8 << 20
 PACKED = 15  # bits of an id where up to four travel in one long
 TASK_UNITS = 50_000  # of which each has some tens of edges, which one task sorts in memory
 BITS = 61  # characters of a unit whose bounds fit into one long
@@ -262,6 +262,16 @@ def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
     return bounded.select("unit", F.when(F.col("hard"), _long_unit(F.col("unit"), F.col("edges"), F.col("odd"), pieces.first_byte)).otherwise(easy).alias("ids"))
 
 
+class Found(Store):
+    """A store of rows whose place (batch, then 24 bits) is all that is exchanged of where they belong."""
+
+    def __init__(self, rows: DataFrame):
+        self.folder = shared_dir(rows.sparkSession)
+        batch = F.shiftright("place", 24)
+        dealt = rows.repartition(F.shiftright("place", 24 + ROW_BITS)).sortWithinPartitions("place")
+        dealt.withColumns({"batch": batch, "part": F.shiftright(batch, ROW_BITS)}).write.option("compression", "zstd").partitionBy("part").parquet(self.folder)
+
+
 def _tasks(spark: SparkSession) -> int:
     """Tasks to encode units in; given as a number, since folding takes far longer than the bytes of units suggest."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -384,11 +394,11 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
     batches = coded(docs, pieces.pattern, head)
     many = batches.agg(F.coalesce(F.sum(F.size("rest")), F.lit(0))).first()[0]
-    rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
+    rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).select((F.col("batch") * (1 << 24) + F.col("k")).alias("place"), "unit").repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
     # all columns of rest are read, so that both sides of the join share one exchange
-    different = rest.groupBy("unit").agg(F.max("batch").alias("b"), F.max("k").alias("m")).where("b >= 0 AND m >= 0").select("unit")
+    different = rest.groupBy("unit").agg(F.max("place").alias("p")).where("p >= 0").select("unit")
     packed = _packed(F.col("ids")) if len(pieces.codes()[1]) <= 1 << PACKED else F.lit(None).cast("long")
-    found = Store(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("batch", "k", packed.alias("packed"), F.when(packed.isNull(), F.col("ids")).alias("ids")))
+    found = Found(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("place", packed.alias("packed"), F.when(packed.isNull(), F.col("ids")).alias("ids")))
     codes = pieces.codes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -397,7 +407,7 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
             rows = found.of(number) if len(rest) else None
             sizes, flat = own.sizes, own.ids
             if rows is not None:
-                rows = rows.sort_by("k")
+                rows = rows.sort_by("place")
                 if rows.num_rows != len(rest):
                     raise RuntimeError(f"batch {number}: {rows.num_rows} encodings for {len(rest)} units")
                 more, ids = _unpacked(rows.column("packed"), rows.column("ids"))

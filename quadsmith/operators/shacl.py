@@ -212,7 +212,7 @@ class Validator:
 
         def add(rows: DataFrame, component: str) -> None:
             value = F.col("value") if "value" in rows.columns else F.lit(None).cast("string")
-            out.append(rows.select("focus", F.lit(path).alias("path"), value.alias("value"), F.lit(shape.name).alias("shape"), F.lit(component).alias("component"), F.lit(shape.severity).alias("severity"), F.lit(shape.message).alias("message")))
+            out.append(rows.select("focus", F.lit(path).alias("path"), value.alias("value"), F.lit(shape.name).alias("shape"), (F.col("component") if "component" in rows.columns else F.lit(component)).alias("component"), F.lit(shape.severity).alias("severity"), F.lit(shape.message).alias("message")))
 
         for name, params in shape.constraints:
             for param in params:
@@ -308,7 +308,8 @@ class Validator:
                 wrong = wrong | (F.col("n") < low)
             if high is not None:
                 wrong = wrong | (F.col("n") > high)
-            return counts.where(wrong).select("focus")
+            bound = F.when(F.col("n") < (low if low is not None else 0), "qualifiedMinCount").otherwise("qualifiedMaxCount")
+            return counts.where(wrong).select("focus", bound.alias("component"))
         if name == "closed":
             if '"true"' not in x:
                 return None

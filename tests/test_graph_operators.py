@@ -196,3 +196,9 @@ def test_json_ld(spark):
         jsonld.expand('{"@context": "https://example.org/x"}', g)
     with pytest.raises(jsonld.JsonLdError):
         jsonld.version_of(json.dumps(DOC | {"@context": CONTEXT.replace("1.1", "1.2")}))
+
+
+def test_a_qualified_shape_names_the_bound_that_is_missed(spark, data):
+    triples = case(("_:p", sh("path"), "<v>"), ("_:p", sh("qualifiedValueShape"), "<Q>"), ("_:p", sh("qualifiedMinCount"), n(1)), ("_:p", sh("qualifiedMaxCount"), n(0)), ("<Q>", sh("maxInclusive"), n(9)))
+    got = {(r["focus"], r["component"]) for r in shacl.Validator(spark, data, shacl.Shapes(triples)).report().collect()}
+    assert got == {("<a>", "qualifiedMaxCount"), ("<b>", "qualifiedMinCount"), ("<c>", "qualifiedMaxCount")}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .arrays import text_slices
 from .common import bounded, map_batches, release, shared_dir, trim
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
 BUCKET_KEYS = 1_000_000
 

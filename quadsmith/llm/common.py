@@ -27,7 +27,7 @@ def trim() -> None:
 
 
 #: Bytes of rows that go to a Python worker at once; Spark's own limit lets a batch be as large as a whole partition.
-BATCH_LIMIT = "4m"
+BATCH_LIMIT = "1m"
 
 
 def bounded(df: DataFrame) -> DataFrame:

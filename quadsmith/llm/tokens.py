@@ -60,7 +60,7 @@ def apart(buf: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
 class WordTokenizer:
     """Ids of texts by a tokenizers file whose pre-tokenizer always splits at white space."""
 
-    def __init__(self, path: str, special: bool = True, limit: int = 600_000):
+    def __init__(self, path: str, special: bool = True, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

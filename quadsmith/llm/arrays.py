@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) for runs of rows of about `limit` bytes; a longer text comes alone."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64

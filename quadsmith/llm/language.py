@@ -197,7 +197,7 @@ def predict(parser: CrossParser, column: pa.Array) -> tuple[list[str], list[floa
     """Languages and scores of a column of texts."""
     names: list[str] = []
     scores: list[float] = []
-    for a, b, buf, offs in text_slices(column):
+    for a, b, buf, offs in text_slices(column, 1 << 20):  # as many segments side by side
         if not parser.languages:
             names += [UND] * (b - a)
             scores += [0.0] * (b - a)

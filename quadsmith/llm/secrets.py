@@ -250,7 +250,11 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts of the fixed patterns, their digest, and all spans as kind:start:end."""
+    """One row per document: counts of the fixed patterns, their digest, and all spans as kind:start:end.
+
+    Null and empty texts have no spans; repeated rows give equal rows; null ids stay null; spans that start together come
+    in the order of their kinds; an empty table gives no rows; other columns, of whatever names, are not read.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = [secret_spans(t) for t in batch.column(1).to_pylist()]
@@ -268,7 +272,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns, with the secrets of the text column replaced; rows without any stay as they are."""
+    """All columns, with the secrets of the text column replaced; rows without any stay as they are.
+
+    Null texts stay null; repeated rows and null ids keep a row each; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

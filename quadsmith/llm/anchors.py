@@ -90,7 +90,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
     block = block_words(window)
     frozen = freeze(docs, text_col)
     size = frozen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = 1 + size // (6 * BUCKET_KEYS)
+    buckets = 1 + size // (24 * BUCKET_KEYS)  # about 4 million keys each
     at = docs.columns.index(text_col)
 
     def blocks(number: int, rows: pa.RecordBatch) -> Iterator[dict]:

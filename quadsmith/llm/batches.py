@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ragged, text_slices
-from .common import bounded, map_batches, release, shared_dir, trim
+from .common import bounded, give_back, map_batches, release, shared_dir, trim
 
 BATCH_BYTES = 1 << 20
 ROW_BITS = 20  # batches of a task, and rows of a batch, are fewer than 2**20
@@ -34,6 +34,7 @@ _U = np.uint64
 
 def freeze(df: DataFrame, text_col: str = "text", size: int = BATCH_BYTES) -> DataFrame:
     """Write df as batches of about `size` bytes of text; a longer text comes alone. Columns: batch, n_bytes, data."""
+    give_back(df.sparkSession)
     at = df.columns.index(text_col)
 
     def message(rows: list[pa.RecordBatch]) -> bytes:

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, shared_dir, written
 
-__all__ = ["KEPT", "bounded", "checkpoint_dir", "map_batches", "release", "shared_dir", "table", "tokenizer_file", "trim", "written"]
+__all__ = ["KEPT", "bounded", "checkpoint_dir", "give_back", "keep_pages", "map_batches", "release", "shared_dir", "table", "tokenizer_file", "trim", "written"]
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -38,16 +39,29 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def keep_pages() -> None:
+    """Let freed arrays serve the next ones, until trim(): arrays mapped one by one cost more in page faults than in work."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # from this size on an array is mapped by itself
+        libc.mallopt(-1, 64 << 20)  # so much may lie free at the heap's end
+    except (OSError, AttributeError):
+        pass
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let the executors' JVMs return the heap that earlier work left behind: they keep what they once took until collected."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
+
 #: What a worker process keeps from task to task, by the kind of task.
 KEPT: dict[str, object] = {}
 
 
 def release(kind: str | None = None) -> None:
     """Forget what tasks of other kinds kept in this worker, which may serve any task."""
-    try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # larger arrays are mapped by themselves and given back when freed
-    except (OSError, AttributeError):
-        pass
+    keep_pages()
     gone = [k for k in KEPT if k != kind]
     for k in gone:
         del KEPT[k]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import text_slices
-from .common import TOKENIZERS, map_batches, tokenizer_file, written
+from .common import TOKENIZERS, give_back, map_batches, tokenizer_file, written
 from .tokens import KIND, WORD_BPE, tokenizer
 
 CAPACITY = 2048
@@ -259,6 +259,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZERS
     Null and empty texts are the single id 0; repeated rows and null ids are packed like any others; an empty table
     gives no rows; other columns are not read. Pieces of full length are sequences by themselves.
     """
+    give_back(docs.sparkSession)
     cut = written(pieces(docs, capacity, tokenizers).withColumn("rid", F.monotonically_increasing_id()))
     placed = pack_items(cut.where(F.col("length") < capacity).select("rid", "length"), capacity, **how)
     full = cut.where(F.col("length") == capacity).select("*", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .anchors import Words
 from .arrays import mix, ragged, window_hashes
 from .batches import ROW_BITS, Store, each, freeze
-from .common import bounded, map_batches, release, trim, written
+from .common import bounded, give_back, map_batches, release, trim, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -302,6 +302,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sim
     first = _verified(_candidates(_groups(slim, trees, depth, dense), similarity, False), frozen, text_at, similarity)
     found = written(components(first))
     labelled = written(slim.join(found, "rid", "left").withColumn("label", F.coalesce("label", "rid")))
+    give_back(docs.sparkSession)
     second = _verified(_candidates(_blocks(labelled, trees, depth, dense), similarity, True), frozen, text_at, similarity)
     final = written(components(first.unionByName(second)))
     sets = reps.select("d1", "d2", "n", "rid").join(final, "rid", "left").select("d1", "d2", "n", F.coalesce("label", "rid").alias("label"))

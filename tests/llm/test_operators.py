@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from quadsmith.llm import anchors, language, ogg, packing, pieces, quality, queries, secrets, simhash, suffixes, tokens
+from quadsmith.llm.batches import freeze
 from quadsmith.llm.common import TOKENIZERS, tokenizer_file
 
 random.seed(11)
@@ -322,3 +323,11 @@ def test_pipeline_stages(spark, docs):
 
 def test_queries_cover_the_ten():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_heaps_are_given_back_between_stages(spark, docs):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Copy" not in b.getName() and "Concurrent" not in b.getName())
+    before = full()
+    freeze(docs)
+    assert full() > before

@@ -2,6 +2,7 @@
 
 import os
 import random
+import resource
 import sys
 from collections import Counter
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 
 from quadsmith.llm import arrays, batches, language, ogg, packing, quality, secrets, simhash, suffixes, tokens
 from quadsmith.llm.anchors import Words
-from quadsmith.llm.common import TOKENIZERS, tokenizer_file
+from quadsmith.llm.common import TOKENIZERS, release, tokenizer_file
 
 TEXTS = ["", None, " ", "a", "a b c", "été à la plage\n\nÉté", "x" * 3000, "the cat sat on the mat " * 20, "日本語 テキスト", "a\tb\x0bc\x0cd\re"]
 
@@ -359,3 +360,13 @@ def test_the_exchange_is_brute_force_and_does_nothing_row_by_row(monkeypatch, li
             if number == 0:
                 steps[buckets] += n
     assert abs(steps[3] - steps[300]) < 50
+
+
+def test_arrays_are_not_mapped_one_by_one():
+    release()
+    for _ in range(3):
+        np.ones(1 << 18)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(100):  # 2 MB, 512 pages each
+        np.ones(1 << 18)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 100 * 512 // 4

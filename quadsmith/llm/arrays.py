@@ -184,8 +184,9 @@ def cells(values: np.ndarray, texts: np.ndarray, k: int, span: int) -> tuple[np.
     outside = np.append(np.flatnonzero(~inside), len(low))
     last = np.minimum(stop, outside[before_end]) - 1
     owner = first.copy()
-    open_at = np.flatnonzero(values[owner] != low[first])
-    hits = np.flatnonzero(np.isin(values, np.unique(low[first])))  # few places; owners are among them
+    pad = np.zeros(w - 1, dtype=low.dtype)
+    highest = ~window_minima(~np.concatenate([pad, low, pad]), w)  # over the windows that hold each place
+    hits = np.flatnonzero(values == highest)  # few places, the least of some window; owners are among them
     j = np.searchsorted(hits, first)
     owner = hits[np.minimum(j, len(hits) - 1)]
     while len(open_at := np.flatnonzero(values[owner] != low[first])):

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from quadsmith.llm import anchors, language, ogg, packing, pieces, quality, queries, secrets, simhash, suffixes, tokens
-from quadsmith.llm.batches import freeze
+from quadsmith.llm.batches import ROW_BITS, Store, freeze
 from quadsmith.llm.common import TOKENIZERS, tokenizer_file
 
 random.seed(11)
@@ -331,3 +331,14 @@ def test_heaps_are_given_back_between_stages(spark, docs):
     before = full()
     freeze(docs)
     assert full() > before
+
+
+def test_a_task_reads_the_rows_about_its_batches_once(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    kept = Store(spark.range(6).selectExpr("id AS batch", "10 * id AS x").repartition(3))
+    reads = []
+    monkeypatch.setattr(pq, "read_table", lambda *a, read=pq.read_table, **k: reads.append(a) or read(*a, **k))
+    assert [kept.of(i).column("x").to_pylist() for i in range(6)] == [[10 * i] for i in range(6)]
+    assert kept.of(1 << ROW_BITS) is None
+    assert len(reads) == 1

@@ -370,3 +370,13 @@ def test_arrays_are_not_mapped_one_by_one():
     for _ in range(100):  # 2 MB, 512 pages each
         np.ones(1 << 18)
     assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 100 * 512 // 4
+
+
+def test_owners_are_found_without_a_sort_of_all_places(monkeypatch):
+    monkeypatch.setattr(np, "isin", lambda *a, **k: pytest.fail("sorts all places"))
+    values = np.random.default_rng(3).integers(0, 50, 600).astype(np.uint64)
+    texts = np.array([0, 200, 200, 230, 607])
+    owner, first, last = arrays.cells(values, texts, 8, 40)
+    for o, f, z in zip(owner.tolist(), first.tolist(), last.tolist()):
+        for at in range(f, z + 1):
+            assert o == at + int(np.argmin(values[at : at + 33]))

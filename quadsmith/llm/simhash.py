@@ -36,6 +36,7 @@ NEAR_BITS = 34
 DENSE = 3000
 STEP = 6
 HUB = 256
+BUCKET_ROWS = 20_000
 _U = np.uint64
 _LANES = np.array([sum((b >> (7 - k) & 1) << (8 * k) for k in range(8)) for b in range(256)], _U)  # a byte's bits, a byte each
 _ORDERS = [np.random.default_rng(7000 + t).permutation(128) for t in range(256)]
@@ -141,7 +142,7 @@ def _groups(reps: DataFrame, trees: int, depth: int, dense: int) -> DataFrame:
             return part if out is None else out.unionByName(part)
         counts = written(counts.select("tree", "grp"))
         sparse = at.join(counts, ["tree", "grp"], "left_anti").withColumn("level", F.lit(level))
-        rows = at.join(counts, ["tree", "grp"], "left_semi").drop("grp")
+        rows = written(at.join(counts, ["tree", "grp"], "left_semi").drop("grp"))  # else each use plants all again
         child = F.shiftright("prefix", 60 - level - STEP)
         firsts = rows.groupBy("tree", child.alias("child")).agg(F.min("rid").alias("rid")).select("tree", "rid")
         leaders = rows.join(firsts, ["tree", "rid"]).withColumns({"grp": key, "level": F.lit(level)})
@@ -150,20 +151,23 @@ def _groups(reps: DataFrame, trees: int, depth: int, dense: int) -> DataFrame:
         level += STEP
 
 
-def _blocks(reps: DataFrame, trees: int, depth: int, dense: int) -> DataFrame:
+def _blocks(reps: DataFrame, trees: int, depth: int, dense: int) -> tuple[DataFrame, int]:
     """Planted labelled rows with the groups they are compared in: a prefix (level 0) or, where it is dense, every pair of
-    its blocks, numbered by level; side 1 is the pair's second block. Dense prefixes of one class are left out."""
+    its blocks, numbered by level; side 1 is the pair's second block. Dense prefixes of one class are left out. And how many
+    rows come of dense prefixes."""
     at = _planted(reps, trees).withColumn("grp", F.shiftright("prefix", 60 - depth))
     counts = at.groupBy("tree", "grp").agg(F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("open")).where(F.col("size") > dense)
-    counts = written(counts.select("tree", "grp", "open", F.ceil(F.col("size") / dense).cast("long").alias("k")))
+    counts = written(counts.select("tree", "grp", "open", "size", F.ceil(F.col("size") / dense).cast("long").alias("k")))
+    more = counts.where("open").agg(F.sum(F.col("size") * F.col("k"))).first()[0]
     if counts.isEmpty():
-        return at.withColumns({"level": F.lit(0).cast("long"), "side": F.lit(0)})
+        return at.withColumns({"level": F.lit(0).cast("long"), "side": F.lit(0)}), 0
+    counts = counts.drop("size")
     sparse = at.join(counts, ["tree", "grp"], "left_anti").withColumns({"level": F.lit(0).cast("long"), "side": F.lit(0)})
     rows = at.join(counts.where("open"), ["tree", "grp"]).withColumn("block", F.pmod(F.xxhash64("rid"), "k"))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     level = 1 + F.least("block", "other") * F.col("k") + F.greatest("block", "other")
     pairs = pairs.withColumns({"level": level, "side": (F.col("block") > F.col("other")).cast("int")})
-    return sparse.unionByName(pairs.drop("k", "open", "block", "other"))
+    return sparse.unionByName(pairs.drop("k", "open", "block", "other")), more or 0
 
 
 def near_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray | None, similarity: float, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +206,8 @@ def near_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray | None, similar
     return join(later), join(earlier)
 
 
-def _candidates(groups: DataFrame, similarity: float, labelled: bool) -> DataFrame:
-    """Distinct pairs a < b of candidates."""
+def _candidates(groups: DataFrame, a_tree: int, similarity: float, labelled: bool) -> DataFrame:
+    """Distinct pairs a < b of candidates; a_tree: about how many rows of groups a tree has."""
 
     def run(rows: pa.Table) -> pa.Table:
         get = lambda k: rows.column(k).to_numpy()
@@ -230,8 +234,7 @@ def _candidates(groups: DataFrame, similarity: float, labelled: bool) -> DataFra
 
     # groups travel together by the first bits of their prefix, a bounded number of signatures each
     slim = groups.select("tree", "level", "grp", "rid", "n", "s1", "s2", *(["label", "side"] if labelled else []), F.expr("pmod(xxhash64(tree, level, grp), 1 << 30)").alias("mixed"))
-    total = groups.count()
-    bucket = F.pmod("mixed", F.lit(1 + total // 20_000))
+    bucket = F.pmod("mixed", F.lit(1 + a_tree // BUCKET_ROWS))
     return slim.withColumn("bucket", bucket).drop("mixed").groupBy("tree", "bucket").applyInArrow(lambda rows: run(rows), "a long, b long").distinct()
 
 
@@ -299,11 +302,13 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sim
     reps = written(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rid"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
     slim = reps.select("rid", "n", "s1", "s2")
     depth = depth_for(target, similarity, trees)
-    first = _verified(_candidates(_groups(slim, trees, depth, dense), similarity, False), frozen, text_at, similarity)
+    count = slim.count()
+    first = _verified(_candidates(_groups(slim, trees, depth, dense), count, similarity, False), frozen, text_at, similarity)
     found = written(components(first))
     labelled = written(slim.join(found, "rid", "left").withColumn("label", F.coalesce("label", "rid")))
     give_back(docs.sparkSession)
-    second = _verified(_candidates(_blocks(labelled, trees, depth, dense), similarity, True), frozen, text_at, similarity)
+    blocks, more = _blocks(labelled, trees, depth, dense)
+    second = _verified(_candidates(blocks, count + more // trees, similarity, True), frozen, text_at, similarity)
     final = written(components(first.unionByName(second)))
     sets = reps.select("d1", "d2", "n", "rid").join(final, "rid", "left").select("d1", "d2", "n", F.coalesce("label", "rid").alias("label"))
     return frozen, signed.join(sets, ["d1", "d2", "n"], "left").select("rid", "doc_id", F.coalesce("label", "rid").alias("label"))

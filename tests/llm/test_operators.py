@@ -342,3 +342,10 @@ def test_a_task_reads_the_rows_about_its_batches_once(spark, monkeypatch):
     assert [kept.of(i).column("x").to_pylist() for i in range(6)] == [[10 * i] for i in range(6)]
     assert kept.of(1 << ROW_BITS) is None
     assert len(reads) == 1
+
+
+def test_op7_plants_a_dense_prefix_once(spark):
+    reps = spark.range(300).selectExpr("id AS rid", "9L AS n", "5L AS s1", "6L AS s2")
+    groups = simhash._groups(reps, 2, 13, 100)
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert groups.select("rid").distinct().count() == 300

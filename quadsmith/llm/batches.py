@@ -196,9 +196,10 @@ def _judge(rows: pa.Table, many_places: int) -> pa.Table:
 class Store:
     """Rows about batches in the shared folder, read by the tasks that work on the batch."""
 
+    have: tuple[int | None, pa.Table | None] = (None, None)  # the part read last, in the task
+
     def __init__(self, rows: DataFrame):
         self.folder = shared_dir(rows.sparkSession)
-        self.have: tuple[int | None, pa.Table | None] = (None, None)  # the part read last, in the task
         rows.withColumn("part", F.shiftright("batch", ROW_BITS)).repartition("part").sortWithinPartitions("part", "batch").write.partitionBy("part").parquet(self.folder)
 
     def of(self, number: int) -> pa.Table:

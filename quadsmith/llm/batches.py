@@ -196,25 +196,31 @@ def _judge(rows: pa.Table, many_places: int) -> pa.Table:
 class Store:
     """Rows about batches in the shared folder, read by the tasks that work on the batch."""
 
-    have: tuple[int | None, pa.Table | None] = (None, None)  # the part read last, in the task
+    have: tuple = (None, None)  # the part read last, in the task
 
     def __init__(self, rows: DataFrame):
         self.folder = shared_dir(rows.sparkSession)
         rows.withColumn("part", F.shiftright("batch", ROW_BITS)).repartition("part").sortWithinPartitions("part", "batch").write.partitionBy("part").parquet(self.folder)
 
-    def of(self, number: int) -> pa.Table:
-        """The rows of one batch; those of a batch without any are None. A task reads the file of its batches once."""
+    def part(self, part: int):
+        """The rows of one part, as `opened` has them; None for a part without any. A task reads the file of its batches once."""
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        part = number >> ROW_BITS
         if self.have[0] != part:
             self.have = (None, None)
             store, place = fs.FileSystem.from_uri(self.folder)
             place = f"{place}/part={part}"
             there = store.get_file_info(place).type != fs.FileType.NotFound
-            self.have = (part, pq.read_table(place, filesystem=store, partitioning=None) if there else None)
-        rows = self.have[1]
+            self.have = (part, self.opened(pq.read_table(place, filesystem=store, partitioning=None)) if there else None)
+        return self.have[1]
+
+    def opened(self, rows: pa.Table):
+        return rows
+
+    def of(self, number: int) -> pa.Table:
+        """The rows of one batch; those of a batch without any are None."""
+        rows = self.part(number >> ROW_BITS)
         return None if rows is None else rows.filter(pa.compute.equal(rows.column("batch"), number))
 
 

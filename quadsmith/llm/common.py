@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, shared_dir, written
 
-__all__ = ["KEPT", "bounded", "checkpoint_dir", "give_back", "keep_pages", "map_batches", "release", "shared_dir", "table", "tokenizer_file", "trim", "written"]
+__all__ = ["KEPT", "bounded", "checkpoint_dir", "give_back", "keep_pages", "map_batches", "release", "shared_dir", "shuffles_deleted", "table", "tokenizer_file", "trim", "written"]
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -55,6 +56,21 @@ def give_back(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is made and run inside deletes its shuffle files as soon as it has ended, not when the driver next collects."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: What a worker process keeps from task to task, by the kind of task.
 KEPT: dict[str, object] = {}
 

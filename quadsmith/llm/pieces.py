@@ -3,7 +3,7 @@
 Texts are cut into units: a run of the meta-symbol for spaces with what follows it, and at each change between ASCII
 signs and other characters where no piece of the model goes across one. No piece crosses such a cut, so units are
 encoded by themselves. Every substring of a unit no longer than the longest piece is exploded and equi-joined to the
-piece table (a broadcast bounded by the vocabulary); the edges found are grouped by unit, and a Spark higher-order
+piece table (a broadcast bounded by the vocabulary) by a 64-bit hash, and compared; the edges found are grouped by unit, and a Spark higher-order
 `aggregate` folds each unit's edges into its pieces:
 
 - unigram models: Viterbi. The state is the best way to every place so far; edges come in order of their ends.
@@ -16,7 +16,8 @@ piece table (a broadcast bounded by the vocabulary); the edges found are grouped
 A character in no piece becomes its UTF-8 bytes' pieces. Each different unit of a batch of texts is sent once: frequent
 ones (at most `HEAD`, of at most `HEAD_CHARS` characters, from one of `HEAD_SHARE` texts; the choice changes nothing but
 the time) are encoded once and kept by all workers, others are shuffled by unit, encoded once each where they meet, and
-given back to their batches, which keep their texts as numbers of units.
+given back to their batches, which keep their texts as numbers of units. What a task gives back to the batches of one
+task travels as one message.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrays import ragged
 from .batches import ROW_BITS, Store
-from .common import TOKENIZERS, bounded, map_batches, release, shared_dir, tokenizer_file, written
+from .common import TOKENIZERS, bounded, give_back, map_batches, release, shared_dir, shuffles_deleted, tokenizer_file, trim, written
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -42,7 +44,7 @@ HEAD = 450_000
 HEAD_SHARE = 4
 HEAD_CHARS = 32
 CODE_BYTES = 8 << 20
-PACKED = 15  # bits of an id where up to four travel in one long
+BUNDLED = 300_000  # units whose ids a task bundles at once
 TASK_UNITS = 50_000  # of which each has some tens of edges, which one task sorts in memory
 BITS = 61  # characters of a unit whose bounds fit into one long
 _SIGNS = r"\x00-@\[-`{-\x7f"
@@ -102,6 +104,8 @@ class PieceTable:
         sign = re.compile(f"[{_SIGNS}]")
         mixed = any(SPACE not in (a, b) and bool(sign.match(a)) != bool(sign.match(b)) for p, _, _ in self.rows for a, b in zip(p, p[1:]))
         self.pattern = _WHOLE if mixed else _PARTS
+        ids = {p: i for p, i, _ in self.rows}
+        self.ascii = [ids.get(chr(b), self.bytes[b]) for b in range(128)]
         self.odd = sorted(unmergeable(self.rows)) if self.rule == "bpe" else []
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -132,6 +136,11 @@ def _byte_ids(char: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda i: F.conv(F.substring(code, 2 * i - 1, 2), 16, 10).cast("int") + first)
 
 
+def _char_ids(char: Column, pieces: PieceTable) -> Column:
+    """The ids of a character that no edge of the lattice stands for: an ASCII one, or one in no piece."""
+    return F.when(F.octet_length(char) == 1, F.array(F.get(F.array(*map(F.lit, pieces.ascii)), F.ascii(char)))).otherwise(_byte_ids(char, pieces.first_byte))
+
+
 def _viterbi(edges: Column) -> Column:
     """The best way to every place of a unit: structs (score, start, piece, id); edges are (stop, start, piece, id, score)."""
     way = "array<struct<score:double,start:int,piece:string,id:int>>"
@@ -183,8 +192,8 @@ def _edge(key: Column) -> tuple[Column, Column]:
     return left.bitwiseOR(right), right - left * 2
 
 
-def _pieces_between(unit: Column, bounds: Column, keys: Column, first_byte: int) -> Column:
-    """The ids of the symbols between the bounds; a character without piece gives its bytes' ids."""
+def _pieces_between(unit: Column, bounds: Column, keys: Column, pieces: PieceTable) -> Column:
+    """The ids of the symbols between the bounds; a character without edge gives its own ids."""
 
     def whole(key: Column) -> Column:
         ends, inner = _edge(key)
@@ -197,7 +206,7 @@ def _pieces_between(unit: Column, bounds: Column, keys: Column, first_byte: int)
     def mended(have: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.length(unit) - 1), lambda i: F.call_function("shiftright", bounds, i).bitwiseAND(_long(1)) == 1)
         own = lambda i: F.filter(have, lambda x: F.shiftright(x, 20) == i.cast("long"))
-        return F.flatten(F.transform(at, lambda i: _let(own(i), lambda x: F.when(F.size(x) > 0, ids(x)).otherwise(_byte_ids(F.substr(unit, i + 1, F.lit(1)), first_byte)))))
+        return F.flatten(F.transform(at, lambda i: _let(own(i), lambda x: F.when(F.size(x) > 0, ids(x)).otherwise(_char_ids(F.substr(unit, i + 1, F.lit(1)), pieces)))))
 
     return _let(found, lambda x: F.when(F.size(x) == F.bit_count(bounds) - 1, ids(x)).otherwise(mended(x)))
 
@@ -208,7 +217,7 @@ def _drop_bound(bounds: Column, e: Column) -> Column:
     return _let(F.array_position(bounds, e["start"]).cast("int"), join)
 
 
-def _long_unit(unit: Column, edges: Column, best_first: Column, first_byte: int) -> Column:
+def _long_unit(unit: Column, edges: Column, best_first: Column, pieces: PieceTable) -> Column:
     """The ids of a unit of any length: the state is the array of bounds; edges are sorted (rank, start, stop, id).
 
     Edges are folded once in their order, or (best_first) by the best that fits, as often as there are characters.
@@ -225,7 +234,7 @@ def _long_unit(unit: Column, edges: Column, best_first: Column, first_byte: int)
         def mended(have: Column) -> Column:
             at = F.slice(bounds, 1, F.size(bounds) - 1)
             mine = lambda i: F.filter(have, lambda x: x["start"] == i)
-            return F.flatten(F.transform(at, lambda i: _let(mine(i), lambda x: F.when(F.size(x) > 0, F.transform(x, lambda y: y["id"])).otherwise(_byte_ids(F.substr(unit, i + 1, F.lit(1)), first_byte)))))
+            return F.flatten(F.transform(at, lambda i: _let(mine(i), lambda x: F.when(F.size(x) > 0, F.transform(x, lambda y: y["id"])).otherwise(_char_ids(F.substr(unit, i + 1, F.lit(1)), pieces)))))
 
         return _let(found, lambda x: F.when(F.size(x) == F.size(bounds) - 1, F.transform(x, lambda y: y["id"])).otherwise(mended(x)))
 
@@ -234,16 +243,29 @@ def _long_unit(unit: Column, edges: Column, best_first: Column, first_byte: int)
     return _let(folded, ids)
 
 
-def _lattice(units: DataFrame, pieces: PieceTable) -> DataFrame:
-    """All edges of all units: the units' columns, at (from 1), size, and the piece's; single characters in no piece too."""
+def _lattice(units: DataFrame, pieces: PieceTable, ascii: bool = True) -> DataFrame:
+    """All edges of all units: the units' columns, at (from 1), size, and the piece's; single characters in no piece too.
+
+    Without ascii, single ASCII characters but a unit's first are left out: no merge makes them, and _char_ids knows them.
+    """
     places = units.select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     parts = places.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("size"))
     parts = parts.select("*", F.expr("substring(unit, at, size)").alias("piece"))
-    return parts.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where("id IS NOT NULL OR size = 1")
+    if not ascii:
+        parts = parts.where("octet_length(piece) > 1 OR at = 1")
+    parts = parts.withColumn("hash", F.xxhash64("piece"))
+    table = pieces.table(units.sparkSession).select(F.xxhash64("piece").alias("key"), F.col("piece").alias("whole"), "id", "score", "code")
+    # a join by one long is several times as fast as one by text; the comparison is no equality, which would be joined by
+    same = (F.col("hash") == F.col("key")) & F.startswith("whole", F.col("piece")) & (F.length("whole") <= F.col("size"))
+    return parts.join(F.broadcast(table), same, "left").where("id IS NOT NULL OR size = 1").drop("hash", "key", "whole")
 
 
 def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
-    """(unit) -> (unit, ids): one row each. The input's partitioning by unit is kept."""
+    """(unit) -> (unit, ids): one row each. The input's partitioning by unit is kept.
+
+    Units are sorted first, so that their far more edges come in the order in which grouping sorts them.
+    """
+    units = units.sortWithinPartitions("unit")
     if pieces.rule == "unigram":
         unknown = min(s for _, _, s in pieces.rows) - 10
         edge = F.struct((F.col("at") + F.col("size") - 1).alias("stop"), (F.col("at") - 1).alias("start"), "piece", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
@@ -256,20 +278,87 @@ def encode_units(units: DataFrame, pieces: PieceTable) -> DataFrame:
     start, stop = F.col("at") - 1, F.col("at") + F.col("size") - 1
     key = F.when(~F.col("hard"), F.col("code") + start * 64 + stop)
     edge = F.when(F.col("hard") & F.col("id").isNotNull(), F.struct(F.shiftright("code", 32).alias("rank"), start.alias("start"), stop.alias("stop"), "id"))
-    grouped = _lattice(flagged, pieces).groupBy("unit", "odd", "hard").agg(F.sort_array(F.collect_list(key)).alias("keys"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = _lattice(flagged, pieces, ascii=False).groupBy("unit", "odd", "hard").agg(F.sort_array(F.collect_list(key)).alias("keys"), F.sort_array(F.collect_list(edge)).alias("edges"))
     bounded = grouped.withColumn("bounds", F.when(~F.col("hard"), _bounds(F.length("unit"), F.col("keys"))))
-    easy = _pieces_between(F.col("unit"), F.col("bounds"), F.col("keys"), pieces.first_byte)
-    return bounded.select("unit", F.when(F.col("hard"), _long_unit(F.col("unit"), F.col("edges"), F.col("odd"), pieces.first_byte)).otherwise(easy).alias("ids"))
+    easy = _pieces_between(F.col("unit"), F.col("bounds"), F.col("keys"), pieces)
+    return bounded.select("unit", F.when(F.col("hard"), _long_unit(F.col("unit"), F.col("edges"), F.col("odd"), pieces)).otherwise(easy).alias("ids"))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First all lowest bytes, then all second ones, and so on: what is alike stands together."""
+    return values.astype(values.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def _from_planes(raw: np.ndarray, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype)[:, 0]
+
+
+def bundle(place: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Places (sorted) and the ids of each, all in a row, as one message."""
+    return pa.compress(_planes(np.diff(place, prepend=0).astype(np.uint64)) + _planes(sizes.astype(np.uint32)) + _planes(ids.astype(np.uint32)), codec="zstd", asbytes=True)
+
+
+def unbundle(message: pa.Scalar, n: int, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(message.as_buffer(), 12 * n + 4 * n_ids, codec="zstd"), np.uint8)
+    return np.cumsum(_from_planes(raw[: 8 * n], "<u8")).astype(np.int64), _from_planes(raw[8 * n : 12 * n], "<u4").astype(np.int64), _from_planes(raw[12 * n :], "<u4").astype(np.int32)
+
+
+def bundles(rows: DataFrame) -> DataFrame:
+    """(place, ids) -> part, n, n_ids, data: what a task has for the batches of a part as one message, or a few."""
+
+    def messages(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        place = np.concatenate([np.asarray(b.column(0)) for b in held])
+        sizes = np.concatenate([np.asarray(b.column(1).value_lengths(), np.int64) for b in held])
+        ids = np.concatenate([b.column(1).flatten().to_numpy() for b in held])
+        order = np.argsort(place)
+        ids = ids[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])]
+        place, sizes = place[order], sizes[order]
+        part = place >> (24 + ROW_BITS)
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        at = np.append(0, np.cumsum(sizes))
+        data = [bundle(place[a:z], sizes[a:z], ids[at[a] : at[z]]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.diff(cut)), pa.array(np.diff(at[cut])), pa.array(data, pa.binary())], names=["part", "n", "n_ids", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held, have = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                have += batch.num_rows
+            if have >= BUNDLED:
+                yield messages(held)
+                held, have = [], 0
+        if held:
+            yield messages(held)
+        del held
+        trim()
+
+    return bounded(rows.select("place", "ids")).mapInArrow(run, "part long, n long, n_ids long, data binary")
 
 
 class Found(Store):
-    """A store of rows whose place (batch, then 24 bits) is all that is exchanged of where they belong."""
+    """The ids of the batches' own units, from rows (place, ids); a place is the batch, then 24 bits."""
 
     def __init__(self, rows: DataFrame):
         self.folder = shared_dir(rows.sparkSession)
-        batch = F.shiftright("place", 24)
-        dealt = rows.repartition(F.shiftright("place", 24 + ROW_BITS)).sortWithinPartitions("place")
-        dealt.withColumns({"batch": batch, "part": F.shiftright(batch, ROW_BITS)}).write.option("compression", "zstd").partitionBy("part").parquet(self.folder)
+        bundles(rows).repartition("part").sortWithinPartitions("part").write.option("compression", "uncompressed").partitionBy("part").parquet(self.folder)
+
+    def opened(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in order, the first of each one's ids (one more than places), and all ids in a row."""
+        place, sizes, ids = (np.concatenate(x) for x in zip(*(unbundle(d, n, m) for d, n, m in zip(rows.column("data"), rows.column("n").to_pylist(), rows.column("n_ids").to_pylist()))))
+        order = np.argsort(place)
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        return place[order], np.append(0, np.cumsum(sizes)), ids[ragged(starts, sizes)]
+
+    def of(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each unit of a batch has, and all of them in a row, in the order of the units."""
+        have = self.part(number >> ROW_BITS)
+        if have is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        place, at, ids = have
+        a, z = np.searchsorted(place, [number << 24, (number + 1) << 24])
+        return np.diff(at[a : z + 1]), ids[at[a] : at[z]]
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -278,48 +367,37 @@ def _tasks(spark: SparkSession) -> int:
 
 
 class Head:
-    """Frequent units and their ids, as every worker keeps them."""
+    """Frequent units and their ids, as every worker keeps them; units are known by their keys."""
 
-    def __init__(self, units: list[str], ids: list[list[int]]):
-        self.number = {u: i for i, u in enumerate(units)}
+    def __init__(self, units: list[str], ids: list[list[int]], pattern: str):
+        lead = len(lead_of(pattern))
+        self.number = {u[lead:]: i for i, u in enumerate(units)}
         self.sizes = np.array([len(x) for x in ids], np.int64)
         self.ids = np.array([i for x in ids for i in x], np.int32)
 
 
+def lead_of(pattern: str) -> str:
+    """What all units begin with, which their keys leave out."""
+    return SPACE if pattern == _WHOLE else ""
+
+
+def keys_of(text: str, pattern: str) -> list[str]:
+    """The keys of units_of(text). Where units begin at spaces alone and no space follows another, they are the words between."""
+    if not text:
+        return []
+    if pattern == _WHOLE and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+        return text.split(" ")
+    lead = len(lead_of(pattern))
+    return [u[lead:] for u in re.findall(pattern, SPACE + text.replace(" ", SPACE))]
+
+
 def head_of(docs: DataFrame, pieces: PieceTable) -> Head:
     """The most frequent units of a sample of the texts, encoded."""
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"), pieces.pattern)).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
     common = written(sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD))
     ids = encode_units(common.select("unit").repartition(_tasks(docs.sparkSession), "unit"), pieces)
     made = ids.join(common, "unit").toArrow().sort_by([("n", "descending"), ("unit", "ascending")])  # at most HEAD rows
-    return Head(made.column("unit").to_pylist(), made.column("ids").to_pylist())
-
-
-def _packed(ids: Column) -> Column:
-    """Up to four ids in one long behind a 1; null for more."""
-    return F.when(F.size(ids) <= 4, F.aggregate(ids, _long(1), lambda x, i: x * (1 << PACKED) + i))
-
-
-def _unpacked(packed: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of ids, and all ids in a row."""
-    lists = ids.combine_chunks()
-    long = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-    some = np.asarray(packed.combine_chunks().fill_null(0), np.int64)
-    few = sum((some >> (PACKED * k) > 1).astype(np.int64) for k in range(4))
-    sizes = long + few
-    out = np.zeros(int(sizes.sum()), np.int32)
-    at = np.cumsum(sizes) - sizes
-    for k in range(4):
-        own = np.flatnonzero(few > k)
-        out[at[own] + k] = some[own] >> (PACKED * (few[own] - 1 - k)) & ((1 << PACKED) - 1)
-    own = np.flatnonzero(long)
-    out[ragged(at[own], long[own])] = lists.flatten().to_numpy()
-    return sizes, out
-
-
-def _planes(codes: np.ndarray) -> bytes:
-    """First all lowest bytes, then all second ones, and so on: what is alike stands together."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return Head(made.column("unit").to_pylist(), made.column("ids").to_pylist(), pieces.pattern)
 
 
 def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFrame:
@@ -327,7 +405,7 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
 
     A row holds about `size` bytes of text: doc_id, n_units, n_bytes and crc32 of every text, all numbers in a row.
     """
-    find = re.compile(pattern)
+    lead = lead_of(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(_KIND)
@@ -337,7 +415,7 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
 
         def row() -> pa.RecordBatch:
             nonlocal number, codes, rest, rows, have
-            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([_planes(np.concatenate(codes))], pa.binary()), pa.array([list(rest)], pa.list_(pa.string()))]
+            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([_planes(np.concatenate(codes))], pa.binary()), pa.array([[lead + u for u in rest]], pa.list_(pa.string()))]
             number, codes, rest, rows, have = number + 1, [], {}, [], 0
             return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n_units", "crc32", "codes", "rest"])
 
@@ -347,10 +425,11 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
                 raw = text.encode()
                 if have and have + len(raw) > size or len(rows) >= 1 << ROW_BITS:
                     yield row()
-                units = find.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                for u in set(units).difference(known).difference(rest):
-                    rest[u] = base + len(rest)
-                codes.append(np.fromiter((known[u] if u in known else rest[u] for u in units), "<u4", len(units)))
+                units = keys_of(text, pattern)
+                code = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+                for i in np.flatnonzero(code < 0).tolist():
+                    code[i] = rest.setdefault(units[i], base + len(rest))
+                codes.append(code.astype("<u4"))
                 rows.append((doc_id, len(units), zlib.crc32(raw)))
                 have += len(raw)
         if rows:
@@ -391,29 +470,29 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     """
     pieces = PieceTable(tokenizer_file(model, tokenizers))
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
-    batches = coded(docs, pieces.pattern, head)
-    many = batches.agg(F.coalesce(F.sum(F.size("rest")), F.lit(0))).first()[0]
-    rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).select((F.col("batch") * (1 << 24) + F.col("k")).alias("place"), "unit").repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
-    # all columns of rest are read, so that both sides of the join share one exchange
-    different = rest.groupBy("unit").agg(F.max("place").alias("p")).where("p >= 0").select("unit")
-    packed = _packed(F.col("ids")) if len(pieces.codes()[1]) <= 1 << PACKED else F.lit(None).cast("long")
-    found = Found(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("place", packed.alias("packed"), F.when(packed.isNull(), F.col("ids")).alias("ids")))
+    with shuffles_deleted(docs.sparkSession):
+        head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
+        give_back(docs.sparkSession)
+        batches = coded(docs, pieces.pattern, head)
+        many = batches.agg(F.coalesce(F.sum(F.size("rest")), F.lit(0))).first()[0]
+        rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).select((F.col("batch") * (1 << 24) + F.col("k")).alias("place"), "unit").repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
+        # all columns of rest are read, so that both sides of the join share one exchange
+        different = rest.groupBy("unit").agg(F.max("place").alias("p")).where("p >= 0").select("unit")
+        found = Found(rest.join(encode_units(different, pieces).hint("shuffle_hash"), "unit").select("place", "ids"))
+    give_back(docs.sparkSession)
     codes = pieces.codes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         own = head.value
         for number, doc_id, n_units, crc, raw, rest in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6))):
-            rows = found.of(number) if len(rest) else None
             sizes, flat = own.sizes, own.ids
-            if rows is not None:
-                rows = rows.sort_by("place")
-                if rows.num_rows != len(rest):
-                    raise RuntimeError(f"batch {number}: {rows.num_rows} encodings for {len(rest)} units")
-                more, ids = _unpacked(rows.column("packed"), rows.column("ids"))
+            if len(rest):
+                more, ids = found.of(number)
+                if len(more) != len(rest):
+                    raise RuntimeError(f"batch {number}: {len(more)} encodings for {len(rest)} units")
                 sizes, flat = np.concatenate([sizes, more]), np.concatenate([flat, ids])
             starts = np.cumsum(sizes) - sizes
-            used = np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+            used = _from_planes(np.frombuffer(raw.as_buffer(), np.uint8), "<u4")
             parts = [flat[ragged(starts[x], sizes[x])] for a in range(0, len(used), 1 << 18) for x in [used[a : a + (1 << 18)]]]
             ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             count = np.asarray(n_units.values, np.int64)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -280,6 +281,54 @@ def test_op8_viterbi_is_the_library_on_a_unigram_model(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == [library.encode(t) for t in texts]
 
 
+def test_op8_leaves_no_shuffle_files_and_sends_messages(spark, docs):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    shuffled = lambda: set(env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = shuffled()
+    pieces.encode_digest(docs)
+    assert not [f for f in shuffled() - before if f.endswith(".data")]
+    rows = spark.range(4000).repartition(2).selectExpr(f"(id % 3 * (1L << {ROW_BITS}) + id % 2 << 24) + id AS place", "sequence(1, int(id % 6 + 1)) AS ids")
+    assert pieces.bundles(rows).groupBy("part").count().collect() and pieces.bundles(rows).count() == 6
+    found = pieces.Found(rows)
+    for part in range(3):
+        for batch in range(2):
+            mine = [i for i in range(4000) if i % 3 == part and i % 2 == batch]
+            sizes, ids = found.of((part << ROW_BITS) + batch)
+            assert sizes.tolist() == [i % 6 + 1 for i in mine] and ids.tolist() == [x for i in mine for x in range(1, i % 6 + 2)]
+    assert len(found.of(2)[0]) == len(found.of(5 << ROW_BITS)[0]) == 0
+
+
+def test_op8_keys_are_the_units():
+    table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
+    texts = ["", " ", "a", " a", "a ", "a b\nc\u00e9", "a  b", "a\u2581b c", "\u2581", "\u2581 a", "\t", "  "]
+    for pattern in (pieces._WHOLE, pieces._PARTS):
+        for t in texts:
+            units = re.findall(pattern, pieces.SPACE + t.replace(" ", pieces.SPACE)) if t else []
+            assert [pieces.lead_of(pattern) + k for k in pieces.keys_of(t, pattern)] == units
+    assert table.pattern == pieces._WHOLE
+
+
+def test_op8_lattice_leaves_out_ascii_characters_that_no_merge_needs(spark):
+    table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
+    units = spark.createDataFrame([("\u2581q\u00e9z",)], "unit string")
+    single = {(r["at"], r["piece"]) for r in pieces._lattice(units, table, ascii=False).where("size = 1").collect()}
+    assert single == {(1, "\u2581"), (3, "\u00e9")}
+
+
+def test_op8_joins_by_one_long_and_compares(spark, monkeypatch):
+    table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
+    units = spark.createDataFrame([("\u2581hello",), ("\u2581\U0001f9ff",)], "unit string")
+    plan = pieces.encode_units(units, table)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [hash#" in plan
+    right = {tuple(r) for r in pieces._lattice(units, table).select("unit", "at", "size", "piece", "id").collect()}
+    ids = {p: i for p, i, _ in table.rows}
+    want = {(u, a + 1, z - a, u[a:z], ids.get(u[a:z])) for u in ("\u2581hello", "\u2581\U0001f9ff") for a in range(len(u)) for z in range(a + 1, len(u) + 1) if u[a:z] in ids or z == a + 1}
+    assert right == want
+    hashed = pieces.F.xxhash64
+    monkeypatch.setattr(pieces.F, "xxhash64", lambda *x: pieces.F.pmod(hashed(*x), pieces.F.lit(1000)))  # many texts of one hash
+    assert {tuple(r) for r in pieces._lattice(units, table).where("id IS NOT NULL").select("unit", "at", "size", "piece", "id").collect()} == {w for w in want if w[4] is not None}
+
+
 def test_op4_learns_and_holds_out(spark):
     rng = random.Random(3)
     words = {"en": ["the", "and", "water", "bring", "house", "thing"], "fr": ["le", "château", "eau", "fenêtre", "oublier", "que"], "de": ["und", "Straße", "wasser", "über", "nicht", "haus"]}

@@ -1,6 +1,7 @@
 """Token ids of whole texts, and token counts from flat files.
 
-`WordTokenizer` gives exactly what the tokenizer file gives, but asks the library only for words it hasn't met: the
+`WordTokenizer` gives exactly what the tokenizer file gives, but asks the library only for words it doesn't remember (and
+for words of letters that no step before the model changes, only the library's model): the
 word-level BPE never looks across ASCII white space, nor from letters to signs, so a text's ids are its parts' in a row.
 
 Separator scan: flat files hold ids (little-endian, fixed width) of documents, each ended by a separator, and nothing
@@ -12,8 +13,10 @@ documents that cross block boundaries.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,11 @@ KIND = "tokens"
 _LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(128)] + [True] * 128)
 _UPPER = np.array([65 <= i <= 90 for i in range(256)])
 _WHOLE = np.array([chr(i) in "0123456789'<" for i in range(256)])  # contractions, digits and special tokens
+#: Words that nothing but the model changes: lower case, one word to the pre-tokenizer, composed.
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: The characters that stand for bytes in the model.
+_SIGNS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(_SIGNS)))}
 
 
 def apart(buf: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -66,6 +74,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        self.model = self.tokenizer.model
         self.splitter = Tokenizer.from_file(path)  # here the end-of-text string is a special token, hence a separator
         self.mark = self.splitter.id_to_token(END_OF_TEXT)
         self.limit = limit
@@ -76,12 +85,28 @@ class WordTokenizer:
         self.ids = np.zeros(1 << 16, np.uint16)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, dtype=bool)  # met in a later call than the first
         self.used = 0
 
+    def forget(self) -> None:
+        """Keep the words met again since the last time, half the limit at most: most others never come back."""
+        own = np.flatnonzero(self.again[: len(self.index)])[: self.limit // 2]
+        words = list(self.index)
+        kept, lengths = [words[i] for i in own.tolist()], self.lengths[own]
+        ids = self.ids[ragged(self.starts[own], lengths)]
+        self.clear()
+        self._store(kept, lengths, ids)
+
     def _ask(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        odd = [w for w in words if b"<|" in w]
+        simple, plain, odd = [], [], []
+        for w in words:
+            (simple if _SIMPLE(w) else odd if b"<|" in w else plain).append(w)
         sizes, parts = [], []
+        if simple:
+            tokenize = self.model.tokenize
+            got = [[t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))] for w in simple]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter(chain.from_iterable(got), np.int64, int(sizes[0].sum())))
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
             got = np.array(self.splitter.encode_batch_fast([self.mark.join(w.decode() for w in part) + self.mark], add_special_tokens=False)[0].ids, np.int64)
@@ -93,12 +118,12 @@ class WordTokenizer:
             sizes.append(np.array([len(got)]))
             parts.append(got)
         if sizes:
-            self._store(plain + odd, np.concatenate(sizes), np.concatenate(parts))
+            self._store(simple + plain + odd, np.concatenate(sizes), np.concatenate(parts))
 
     def _store(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.index)
         while n + len(size) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.again = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.starts, self.lengths, self.again))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -110,17 +135,21 @@ class WordTokenizer:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts buf[offs[i]:offs[i+1]], and each text's first place in them (one more than texts)."""
         if len(self.index) > self.limit:
-            self.clear()
+            self.forget()
         raw, offs = apart(buf, offs)
         words: list[bytes] = []
         counts = np.zeros(len(offs), np.int64)
         for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
             words += raw[a:b].split()
             counts[i + 1] = len(words)
-        new = set(words).difference(self.index)
-        if new:
-            self._ask(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = at < 0
+        self.again[at[~new]] = True
+        if new.any():
+            new = np.flatnonzero(new)
+            missed = [words[i] for i in new.tolist()]
+            self._ask(sorted(set(missed)))
+            at[new] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.ids[ragged(self.starts[at], lengths)], ends[counts]

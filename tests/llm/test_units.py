@@ -300,6 +300,42 @@ def test_parts_of_words_are_the_words_ids():
         assert [ids[x:y].tolist() for x, y in zip(cut[:-1], cut[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_met_again_are_not_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file(tokens.WORD_BPE, TOKENIZERS)
+    library, own = Tokenizer.from_file(path), tokens.WordTokenizer(path, limit=4)
+    asked = []
+    monkeypatch.setattr(own, "_ask", lambda words, ask=own._ask: asked.extend(words) or ask(words))
+    texts = ["the cat sat", "the dog sat", "a bird", "the tree sat", "the end", "every other word is new here", "the last"]
+    for text in texts:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        ids, cut = own.encode(buf, np.array([0, len(buf)]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and cut.tolist() == [0, len(ids)]
+        assert len(own.index) <= 4 + len(text.split())
+    assert asked.count(b"the") == asked.count(b"sat") == 1
+
+
+def test_simple_words_ask_the_model_alone(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file(tokens.WORD_BPE, TOKENIZERS)
+    library, own = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + list("abcdefghijklmnopqrstuvwxyz") * 30
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(3000)] + [chr(c) * 2 for c in range(0x21, 0x250)]
+    text = " ".join(words)
+    buf = np.frombuffer(text.encode(), np.uint8)
+    asked = []
+    monkeypatch.setattr(own, "splitter", type("Counted", (), {"encode_batch_fast": lambda _, x, real=own.splitter, **k: asked.append(x) or real.encode_batch_fast(x, **k)})())
+    ids, _ = own.encode(buf, np.array([0, len(buf)]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    asked.clear()
+    buf = np.frombuffer("élan Straße theatre œuvre".encode(), np.uint8)
+    own.encode(buf, np.array([0, len(buf)]))
+    assert len(asked) == 1 and asked[0][0].replace(own.mark, "") == "œuvre"
+
+
 def test_phrases_go_on_across_segments():
     rng = random.Random(2)
     sample = {k: "".join(rng.choice(k * 3 + "abcdefgh ") for _ in range(3000)).encode() for k in ("de", "fr")}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, shared_dir, written
 
-__all__ = ["KEPT", "bounded", "checkpoint_dir", "give_back", "keep_pages", "map_batches", "release", "shared_dir", "shuffles_deleted", "table", "tokenizer_file", "trim", "written"]
+__all__ = ["KEPT", "LISTS_BY_SORT", "SHUFFLES_DELETED", "bounded", "checkpoint_dir", "give_back", "keep_pages", "map_batches", "release", "settings", "shared_dir", "table", "tokenizer_file", "trim", "written"]
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -57,18 +57,26 @@ def give_back(spark: SparkSession) -> None:
 
 
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """What is made and run inside deletes its shuffle files as soon as it has ended, not when the driver next collects."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings (names with _ for .) are these inside, and afterwards what they were."""
+    values = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: What is made and run under it deletes its shuffle files as soon as it has ended, not when the driver next collects.
+SHUFFLES_DELETED = {"spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true"}
+#: Lists are collected from sorted rows, which need no table of groups.
+LISTS_BY_SORT = {"spark_sql_execution_useObjectHashAggregateExec": "false"}
 
 
 #: What a worker process keeps from task to task, by the kind of task.

@@ -30,19 +30,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import ragged
 from .batches import ROW_BITS, Store
-from .common import TOKENIZERS, bounded, give_back, map_batches, release, shared_dir, shuffles_deleted, tokenizer_file, trim, written
+from .common import LISTS_BY_SORT, SHUFFLES_DELETED, TOKENIZERS, bounded, give_back, map_batches, release, settings, shared_dir, tokenizer_file, trim, written
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 HEAD = 450_000
 HEAD_SHARE = 4
 HEAD_CHARS = 32
+COUNTED = 300_000  # different units that a task counts at once
 CODE_BYTES = 8 << 20
 BUNDLED = 300_000  # units whose ids a task bundles at once
 TASK_UNITS = 50_000  # of which each has some tens of edges, which one task sorts in memory
@@ -391,17 +393,41 @@ def keys_of(text: str, pattern: str) -> list[str]:
     return [u[lead:] for u in re.findall(pattern, SPACE + text.replace(" ", SPACE))]
 
 
+def counted(texts: DataFrame, pattern: str) -> DataFrame:
+    """(text) -> unit, n: how often a task met each unit of at most HEAD_CHARS; a unit may come again after COUNTED others."""
+    lead = lead_of(pattern)
+
+    def rows(count: Counter) -> pa.RecordBatch:
+        short = [(lead + u, n) for u, n in count.items() if len(lead) + len(u) <= HEAD_CHARS]
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["unit", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        count: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                count.update(keys_of(text.as_py() or "", pattern))
+                if len(count) >= COUNTED:
+                    yield rows(count)
+                    count = Counter()
+        yield rows(count)
+        del count
+        trim()
+
+    return bounded(texts).mapInArrow(run, "unit string, n long")
+
+
 def head_of(docs: DataFrame, pieces: PieceTable) -> Head:
     """The most frequent units of a sample of the texts, encoded."""
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select(F.explode(units_of(F.col("text"), pieces.pattern)).alias("unit")).where(F.length("unit") <= HEAD_CHARS)
-    common = written(sample.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD))
+    sample = counted(docs.where(F.pmod(F.xxhash64("text"), F.lit(HEAD_SHARE)) == 0).select("text"), pieces.pattern)
+    common = written(sample.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD))
     ids = encode_units(common.select("unit").repartition(_tasks(docs.sparkSession), "unit"), pieces)
     made = ids.join(common, "unit").toArrow().sort_by([("n", "descending"), ("unit", "ascending")])  # at most HEAD rows
     return Head(made.column("unit").to_pylist(), made.column("ids").to_pylist(), pieces.pattern)
 
 
 def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFrame:
-    """Write docs (doc_id, text) as batches of numbers of units: those of the head first, then the batch's own `rest`.
+    """Write docs (doc_id, text) as batches of numbers of units: those of the head first, then the batch's own `rest`, sorted.
 
     A row holds about `size` bytes of text: doc_id, n_units, n_bytes and crc32 of every text, all numbers in a row.
     """
@@ -415,7 +441,14 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
 
         def row() -> pa.RecordBatch:
             nonlocal number, codes, rest, rows, have
-            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([_planes(np.concatenate(codes))], pa.binary()), pa.array([[lead + u for u in rest]], pa.list_(pa.string()))]
+            units, used = pa.array([lead + u for u in rest], pa.string()), np.concatenate(codes)
+            order = pa.compute.sort_indices(units)  # neighbours begin alike, on disk and on their way
+            rank = np.empty(len(rest), np.int64)
+            rank[order.to_numpy()] = np.arange(len(rest))
+            own = np.flatnonzero(used >= base)
+            used[own] = base + rank[used[own] - base]
+            mine = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), units.take(order))
+            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([_planes(used.astype(np.uint32))], pa.binary()), mine]
             number, codes, rest, rows, have = number + 1, [], {}, [], 0
             return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n_units", "crc32", "codes", "rest"])
 
@@ -470,7 +503,7 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     """
     pieces = PieceTable(tokenizer_file(model, tokenizers))
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    with shuffles_deleted(docs.sparkSession):
+    with settings(docs.sparkSession, **SHUFFLES_DELETED, **LISTS_BY_SORT):
         head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
         give_back(docs.sparkSession)
         batches = coded(docs, pieces.pattern, head)

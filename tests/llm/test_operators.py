@@ -298,6 +298,14 @@ def test_op8_leaves_no_shuffle_files_and_sends_messages(spark, docs):
     assert len(found.of(2)[0]) == len(found.of(5 << ROW_BITS)[0]) == 0
 
 
+def test_op8_groups_edges_by_sort(spark, docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(pieces, "Found", lambda rows, real=pieces.Found: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or real(rows))
+    pieces.encode_digest(docs)
+    assert "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0]
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
+
+
 def test_op8_keys_are_the_units():
     table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
     texts = ["", " ", "a", " a", "a ", "a b\nc\u00e9", "a  b", "a\u2581b c", "\u2581", "\u2581 a", "\t", "  "]
@@ -308,6 +316,17 @@ def test_op8_keys_are_the_units():
     assert table.pattern == pieces._WHOLE
 
 
+def test_op8_counts_units_and_sorts_those_of_a_batch(spark, docs, monkeypatch):
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(pieces, "COUNTED", most)
+        got = {r["unit"]: r["n"] for r in pieces.counted(docs.select("text"), pieces._WHOLE).groupBy("unit").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+        want = Counter(u for r in ROWS if r[1] for u in re.findall(pieces._WHOLE, pieces.SPACE + r[1].replace(" ", pieces.SPACE)) if len(u) <= pieces.HEAD_CHARS)
+        assert got == want
+    head = spark.sparkContext.broadcast(pieces.Head([], [], pieces._WHOLE))
+    for row in pieces.coded(docs.select("doc_id", "text"), pieces._WHOLE, head).collect():
+        assert row["rest"] == sorted(row["rest"])
+
+
 def test_op8_lattice_leaves_out_ascii_characters_that_no_merge_needs(spark):
     table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
     units = spark.createDataFrame([("\u2581q\u00e9z",)], "unit string")

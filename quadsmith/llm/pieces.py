@@ -2,7 +2,9 @@
 
 Texts are cut into units: a run of the meta-symbol for spaces with what follows it, and at each change between ASCII
 signs and other characters where no piece of the model goes across one. No piece crosses such a cut, so units are
-encoded by themselves. Every substring of a unit no longer than the longest piece is exploded and equi-joined to the
+encoded by themselves. Units that are not frequent (below) are cut once more, between any two characters that stand side by
+side in no piece: what is shuffled and folded are these parts, many of which different units share, and a unit's ids are
+those of its parts in a row. Every substring of a unit (or part) no longer than the longest piece is exploded and equi-joined to the
 piece table (a broadcast bounded by the vocabulary) by a 64-bit hash, and compared; the edges found are grouped by unit, and a Spark higher-order
 `aggregate` folds each unit's edges into its pieces:
 
@@ -15,8 +17,8 @@ piece table (a broadcast bounded by the vocabulary) by a 64-bit hash, and compar
 
 A character in no piece becomes its UTF-8 bytes' pieces. Each different unit of a batch of texts is sent once: frequent
 ones (at most `HEAD`, of at most `HEAD_CHARS` characters, from one of `HEAD_SHARE` texts; the choice changes nothing but
-the time) are encoded once and kept by all workers, others are shuffled by unit, encoded once each where they meet, and
-given back to their batches, which keep their texts as numbers of units. What a task gives back to the batches of one
+the time) are encoded once and kept by all workers, parts of others are shuffled by part, encoded once each where they meet,
+and given back to their batches, which keep their texts as numbers of units, and units as numbers of parts. What a task gives back to the batches of one
 task travels as one message.
 """
 
@@ -48,6 +50,7 @@ COUNTED = 300_000  # different units that a task counts at once
 CODE_BYTES = 8 << 20
 BUNDLED = 300_000  # units whose ids a task bundles at once
 TASK_UNITS = 50_000  # of which each has some tens of edges, which one task sorts in memory
+PAIR_BITS = 20  # a table of pairs of characters has so many places
 BITS = 61  # characters of a unit whose bounds fit into one long
 _SIGNS = r"\x00-@\[-`{-\x7f"
 _WHOLE = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
@@ -106,6 +109,8 @@ class PieceTable:
         sign = re.compile(f"[{_SIGNS}]")
         mixed = any(SPACE not in (a, b) and bool(sign.match(a)) != bool(sign.match(b)) for p, _, _ in self.rows for a, b in zip(p, p[1:]))
         self.pattern = _WHOLE if mixed else _PARTS
+        pairs = sorted({p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)})
+        self.pairs = np.array([[ord(a), ord(b)] for a, b in pairs], np.uint32).reshape(-1, 2)
         ids = {p: i for p, i, _ in self.rows}
         self.ascii = [ids.get(chr(b), self.bytes[b]) for b in range(128)]
         self.odd = sorted(unmergeable(self.rows)) if self.rule == "bpe" else []
@@ -254,7 +259,7 @@ def _lattice(units: DataFrame, pieces: PieceTable, ascii: bool = True) -> DataFr
     parts = places.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("size"))
     parts = parts.select("*", F.expr("substring(unit, at, size)").alias("piece"))
     if not ascii:
-        parts = parts.where("octet_length(piece) > 1 OR at = 1")
+        parts = parts.where("size > 1 OR at = 1 OR octet_length(piece) > 1")  # the text, made anew for this, is asked last
     parts = parts.withColumn("hash", F.xxhash64("piece"))
     table = pieces.table(units.sparkSession).select(F.xxhash64("piece").alias("key"), F.col("piece").alias("whole"), "id", "score", "code")
     # a join by one long is several times as fast as one by text; the comparison is no equality, which would be joined by
@@ -426,10 +431,40 @@ def head_of(docs: DataFrame, pieces: PieceTable) -> Head:
     return Head(made.column("unit").to_pylist(), made.column("ids").to_pylist(), pieces.pattern)
 
 
-def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFrame:
-    """Write docs (doc_id, text) as batches of numbers of units: those of the head first, then the batch's own `rest`, sorted.
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The place of each pair of characters in a table of pairs; different pairs may share one."""
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
 
-    A row holds about `size` bytes of text: doc_id, n_units, n_bytes and crc32 of every text, all numbers in a row.
+
+def beside(pairs: np.ndarray) -> np.ndarray:
+    """True for (at least) the pairs of characters that stand side by side in a piece."""
+    table = np.zeros(1 << PAIR_BITS, dtype=bool)
+    table[_pair(pairs[:, 0], pairs[:, 1])] = True
+    return table
+
+
+def parts_of(units: pa.Array, table: np.ndarray | None) -> tuple[np.ndarray, pa.Array]:
+    """How many parts each unit has (none is empty, so 1 at least), and all parts in a row. Without a table a unit is its only part."""
+    if table is None or not len(units):
+        return np.ones(len(units), np.int64), units
+    _, offsets, data = units.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(units) + 1, 4 * units.offset)
+    text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    starts = np.flatnonzero(text & np.uint8(0xC0) != 0x80)  # bytes that begin a character
+    chars = np.frombuffer(text.tobytes().decode().encode("utf-32-le"), "<u4")
+    cut = np.ones(len(chars) + 1, dtype=bool)
+    cut[1:-1] = ~table[_pair(chars[:-1], chars[1:])]
+    cut[np.searchsorted(starts, offsets[:-1] - offsets[0])] = True
+    begin = np.append(starts, len(text))[cut].astype(np.int32)
+    n = np.diff(np.searchsorted(begin, offsets - offsets[0]))
+    return n, pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(text))
+
+
+def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES, pairs: np.ndarray | None = None) -> DataFrame:
+    """Write docs (doc_id, text) as batches of numbers of units: those of the head first, then the batch's own.
+
+    A row holds about `size` bytes of text: doc_id, n_units and crc32 of every text, all numbers in a row; of every unit of
+    its own how many parts it has, and the numbers of all parts in a row, in `rest`, where each is once, sorted.
     """
     lead = lead_of(pattern)
 
@@ -438,19 +473,20 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
         number, codes, rest, rows, have = TaskContext.get().partitionId() << ROW_BITS, [], {}, [], 0
         known = head.value.number
         base = len(known)
+        table = None if pairs is None else beside(pairs)
 
         def row() -> pa.RecordBatch:
             nonlocal number, codes, rest, rows, have
-            units, used = pa.array([lead + u for u in rest], pa.string()), np.concatenate(codes)
-            order = pa.compute.sort_indices(units)  # neighbours begin alike, on disk and on their way
-            rank = np.empty(len(rest), np.int64)
-            rank[order.to_numpy()] = np.arange(len(rest))
-            own = np.flatnonzero(used >= base)
-            used[own] = base + rank[used[own] - base]
-            mine = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), units.take(order))
-            arrays = [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in (1, 2)), pa.array([_planes(used.astype(np.uint32))], pa.binary()), mine]
+            n_parts, parts = parts_of(pa.array([lead + u for u in rest], pa.string()), table)
+            parts = parts.dictionary_encode()
+            order = pa.compute.sort_indices(parts.dictionary)  # neighbours begin alike, on disk and on their way
+            rank = np.empty(len(order), np.uint32)
+            rank[order.to_numpy()] = np.arange(len(order))
+            mine = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), parts.dictionary.take(order))
+            numbers = [np.concatenate(codes), n_parts.astype(np.uint32), rank[parts.indices.to_numpy()]]
+            arrays = [pa.array([number]), *(pa.array([[r[k] for r in rows]], pa.list_(pa.int64())) for k in range(3)), *(pa.array([_planes(x)], pa.binary()) for x in numbers), mine]
             number, codes, rest, rows, have = number + 1, [], {}, [], 0
-            return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n_units", "crc32", "codes", "rest"])
+            return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n_units", "crc32", "codes", "n_parts", "parts", "rest"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -469,7 +505,7 @@ def coded(docs: DataFrame, pattern: str, head, size: int = CODE_BYTES) -> DataFr
             yield row()
 
     path = shared_dir(docs.sparkSession)
-    out = bounded(docs).mapInArrow(run, "batch long, doc_id array<long>, n_units array<long>, crc32 array<long>, codes binary, rest array<string>")
+    out = bounded(docs).mapInArrow(run, "batch long, doc_id array<long>, n_units array<long>, crc32 array<long>, codes binary, n_parts binary, parts binary, rest array<string>")
     out.write.option("compression", "zstd").option("parquet.block.size", size).parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
@@ -506,7 +542,7 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
     with settings(docs.sparkSession, **SHUFFLES_DELETED, **LISTS_BY_SORT):
         head = docs.sparkSession.sparkContext.broadcast(head_of(docs, pieces))
         give_back(docs.sparkSession)
-        batches = coded(docs, pieces.pattern, head)
+        batches = coded(docs, pieces.pattern, head, pairs=pieces.pairs)
         many = batches.agg(F.coalesce(F.sum(F.size("rest")), F.lit(0))).first()[0]
         rest = batches.select("batch", F.posexplode("rest").alias("k", "unit")).select((F.col("batch") * (1 << 24) + F.col("k")).alias("place"), "unit").repartition(max(_tasks(docs.sparkSession), many // TASK_UNITS), "unit")
         # all columns of rest are read, so that both sides of the join share one exchange
@@ -517,12 +553,15 @@ def encode_digest(docs: DataFrame, tokenizers: str = TOKENIZERS, model: str = MO
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         own = head.value
-        for number, doc_id, n_units, crc, raw, rest in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6))):
+        for number, doc_id, n_units, crc, raw, n_parts, parts, rest in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 8))):
             sizes, flat = own.sizes, own.ids
             if len(rest):
                 more, ids = found.of(number)
                 if len(more) != len(rest):
-                    raise RuntimeError(f"batch {number}: {len(more)} encodings for {len(rest)} units")
+                    raise RuntimeError(f"batch {number}: {len(more)} encodings for {len(rest)} parts")
+                n_parts, parts = (_from_planes(np.frombuffer(x.as_buffer(), np.uint8), "<u4") for x in (n_parts, parts))
+                ids = ids[ragged((np.cumsum(more) - more)[parts], more[parts])]  # of the units, part by part
+                more = np.add.reduceat(more[parts], np.append(0, np.cumsum(n_parts[:-1], dtype=np.int64)))
                 sizes, flat = np.concatenate([sizes, more]), np.concatenate([flat, ids])
             starts = np.cumsum(sizes) - sizes
             used = _from_planes(np.frombuffer(raw.as_buffer(), np.uint8), "<u4")

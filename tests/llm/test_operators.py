@@ -334,6 +334,44 @@ def test_op8_lattice_leaves_out_ascii_characters_that_no_merge_needs(spark):
     assert single == {(1, "\u2581"), (3, "\u00e9")}
 
 
+def test_op8_shuffles_parts_that_units_share(spark, tmp_path, monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=tokenizer_file(pieces.MODEL, TOKENIZERS))
+    heads, tails = [prose(1) + "in" * k for k in range(15)], ["語" * (k + 1) + ".\n" + "x" * k for k in range(15)]
+    words = [h + t for h in heads for t in tails] + ["🧿é", "▁▁a語", "a  語b", "語", "z" * 70 + "語" * 70]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, " ".join(words[i::4])) for i in range(4)], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    sent = []
+    monkeypatch.setattr(pieces, "Found", lambda rows, real=pieces.Found: sent.append(rows.count()) or real(rows))
+    for small in (False, True):
+        if small:  # where pairs share places there are fewer cuts, and the same ids
+            monkeypatch.setattr(pieces, "PAIR_BITS", 6)
+        got = {r["doc_id"]: r for r in pieces.encode_digest(docs).collect()}
+        assert [list(got[i]["ids"]) for i in range(4)] == [library.encode(" ".join(words[i::4])) for i in range(4)]
+        assert [got[i]["n_units"] for i in range(4)] == [len(pieces.keys_of(" ".join(words[i::4]), pieces._WHOLE)) for i in range(4)]
+        assert small or sent[0] < len(words) / 1.5  # whole units are a row for every word
+
+
+def test_op8_parts_are_cut_between_pairs_in_no_piece():
+    import pyarrow as pa
+
+    table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
+    pairs = {p[i : i + 2] for p, _, _ in table.rows for i in range(len(p) - 1)}
+    rng = random.Random(8)
+    units = ["▁" + "".join(rng.choice("aein.\n$é語🧿▁Q7") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    for skip in (0, 7):
+        n, parts = pieces.parts_of(pa.array(units).slice(skip), pieces.beside(table.pairs))
+        want = []
+        for u in units[skip:]:
+            at = [0, *(i for i in range(1, len(u)) if u[i - 1 : i + 1] not in pairs), len(u)]
+            want.append([u[a:z] for a, z in zip(at, at[1:])])
+        assert parts.to_pylist() == [p for w in want for p in w] and n.tolist() == [len(w) for w in want]
+    assert pieces.parts_of(pa.array([], pa.string()), pieces.beside(table.pairs))[0].tolist() == []
+    assert pieces.parts_of(pa.array(units), None)[1].to_pylist() == units
+
+
 def test_op8_joins_by_one_long_and_compares(spark, monkeypatch):
     table = pieces.PieceTable(tokenizer_file(pieces.MODEL, TOKENIZERS))
     units = spark.createDataFrame([("\u2581hello",), ("\u2581\U0001f9ff",)], "unit string")

@@ -210,3 +210,47 @@ def test_permutations_of_a_pattern_agree(engine):
     parts = ["?a <urn:p> ?b", "?b <urn:p> ?c", "?c <urn:n> ?v"]
     answers = {tuple(rows(engine, f"SELECT ?a ?v {{ {' . '.join(p)} }}")) for p in itertools.permutations(parts)}
     assert len(answers) == 1
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def loose(spark):
+    """Solutions that bind one, both or none of ?x and ?y, on either side."""
+    quads = [("<urn:g>", s, p, o) for s, p, o in [("<urn:1>", "<urn:x>", i(1)), ("<urn:1>", "<urn:y>", i(1)), ("<urn:2>", "<urn:x>", i(1)), ("<urn:3>", "<urn:y>", i(2)), ("<urn:4>", "<urn:x>", i(3)), ("<urn:4>", "<urn:y>", i(2)), ("<urn:5>", "<urn:x>", i(9))]]
+    quads += [("<urn:g>", f"<urn:{n}>", "<urn:in>", "<urn:A>") for n in range(7)] + [("<urn:g>", f"<urn:{n}>", "<urn:of>", "<urn:B>") for n in (0, 1, 3, 4)]
+    quads += [("<urn:g>", "<urn:1>", "<urn:k>", i(1)), ("<urn:g>", "<urn:3>", "<urn:k>", i(2))]
+    return Engine(spark, QuadTable(spark.createDataFrame(quads, "g string, s string, p string, o string")))
+
+
+LEFT = "?a <urn:in> <urn:A> OPTIONAL { ?a <urn:x> ?x } OPTIONAL { ?a <urn:y> ?y }"
+RIGHT = {"sure": "?b <urn:x> ?x", "maybe": "?b <urn:of> <urn:B> OPTIONAL { ?b <urn:x> ?x } OPTIONAL { ?b <urn:y> ?y }", "one": "?b <urn:of> <urn:B> OPTIONAL { ?b <urn:y> ?y }", "none": "?b <urn:k> 77 . ?b <urn:x> ?x"}
+
+
+def compatible(m, n):
+    return all(m[v] == n[v] for v in m.keys() & n.keys())
+
+
+@pytest.mark.parametrize("right", RIGHT)
+def test_joins_on_unbound_variables_are_compatible_mappings(loose, right):
+    def bags(text):
+        return [{k: v for k, v in r.asDict().items() if v is not None} for r in loose.query(f"SELECT * {{ {text} }}").df.collect()]
+
+    def text_of(solutions):
+        return sorted(str(sorted(s.items())) for s in solutions)
+
+    ls, rs = bags(LEFT), bags(RIGHT[right])
+    met = [[n for n in rs if compatible(m, n)] for m in ls]
+    assert text_of(bags(f"{{ {LEFT} }} {{ {RIGHT[right]} }}")) == text_of([m | n for m, ns in zip(ls, met) for n in ns])
+    assert text_of(bags(f"{LEFT} OPTIONAL {{ {RIGHT[right]} }}")) == text_of([m | n for m, ns in zip(ls, met) for n in ns or [{}]])
+    assert text_of(bags(f"{LEFT} FILTER EXISTS {{ {RIGHT[right]} }}")) == text_of([m for m, ns in zip(ls, met) if ns])
+    assert text_of(bags(f"{LEFT} FILTER NOT EXISTS {{ {RIGHT[right]} }}")) == text_of([m for m, ns in zip(ls, met) if not ns])
+    assert text_of(bags(f"{LEFT} MINUS {{ {RIGHT[right]} }}")) == text_of([m for m in ls if not any(compatible(m, n) and m.keys() & n.keys() for n in rs)])
+    assert text_of(bags(f"{LEFT} OPTIONAL {{ {RIGHT[right]} FILTER(?b != ?a) }}")) == text_of([m | n for m, ns in zip(ls, met) for n in [n for n in ns if n["b"] != m["a"]] or [{}]])
+
+
+def test_join_on_maybe_unbound_has_no_condition_with_or(loose):
+    plan = physical(loose.query("SELECT * { ?a <urn:in> <urn:A> OPTIONAL { ?a <urn:x> ?x } { ?b <urn:x> ?x } }").df)
+    assert " OR " not in plan and plan.count("HashJoin") + plan.count("SortMergeJoin") > 2

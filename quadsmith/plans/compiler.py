@@ -484,16 +484,41 @@ class Compiler:
     def distinct(self, node: object, graph: str | None) -> Rel:
         """Under DISTINCT, the parts of a BGP that give no output column only have to exist."""
         if self.optimize and isinstance(node, A.Project):
-            inner, name = node.pattern, graph
-            if isinstance(inner, A.Graph) and (graph is None or graph == inner.name):
-                inner, name = inner.pattern, inner.name
-            if isinstance(inner, A.BGP) and inner.triples and all(isinstance(t.p, str) for t in inner.triples):
-                rel = self.witnessed(inner, name, set(node.vars) | ({name} if name and is_var(name) else set()))
+            found = self.tested(node.pattern)
+            if found is not None and (found[1] is None or graph in (None, found[1])):
+                bgp, name, tests = found
+                name = name or graph
+                rel = self.witnessed(self.ordered(bgp, name), name, set(node.vars) | ({name} if name and is_var(name) else set()), tests)
                 rel = rel.keep(node.vars)
                 if set(node.vars) <= rel.vars:
                     return self.deduped(rel)
         return self.deduped(self.compile(node, graph))
 
+    @staticmethod
+    def tested(node: object) -> tuple[A.BGP, str | None, list] | None:
+        """A BGP without paths, its graph and the filters on it, if that is all a pattern has."""
+        name, tests = None, []
+        while isinstance(node, A.Filter) or (isinstance(node, A.Graph) and name is None):
+            if isinstance(node, A.Filter):
+                tests += conjuncts(node.condition)
+            else:
+                name = node.name
+            node = node.pattern
+        if not isinstance(node, A.BGP) or not node.triples or not all(isinstance(t.p, str) for t in node.triples):
+            return None
+        inside = A.pattern_vars(node) | ({name} if name and is_var(name) else set())
+        return None if any(has_exists(t) or not A.expr_vars(t) or not A.expr_vars(t) <= inside for t in tests) else (node, name, tests)
+
+    def asked(self, node: object) -> Rel:
+        """A relation that has a row if the pattern has one: of a BGP, its smallest part that the others have to witness."""
+        while isinstance(node, (A.Project, A.Distinct, A.Reduced, A.OrderBy)):
+            node = node.pattern
+        found = self.tested(node) if self.optimize else None
+        if found is None:
+            return self.compile(node)
+        bgp, name, tests = found
+        return self.witnessed(self.ordered(bgp, name), name, set(), tests)
+
     @staticmethod
     def deduped(rel: Rel) -> Rel:
         """Distinct rows; on native columns, from which the terms are built again."""
@@ -504,24 +529,35 @@ class Compiler:
         bare = Rel(df, rel.sure, rel.maybe, rel.native)
         return replace(rel, df=df.select(*[(bare.ex(v).term().alias(col_of(v))) for v in sorted(rel.vars)], *[F.col(f"`{col_of(v)}__n`") for v in sorted(rel.native)]))
 
-    def witnessed(self, bgp: A.BGP, graph: str | None, wanted: set[str]) -> Rel:
-        """Join a BGP for its distinct values of some variables; parts that are only tests become semi-joins."""
-        units = self.ordered(bgp, graph)
-        vars_of = [A.pattern_vars(A.BGP(u)) | ({graph} if graph and is_var(graph) else set()) for u in units]
-        rel, done = None, []
-        core = [i for i, v in enumerate(vars_of) if v & (wanted - ({graph} if graph else set()))] or [0]
+    def witnessed(self, units: list[tuple[A.Triple, ...]], graph: str | None, wanted: set[str], tests: list = ()) -> Rel:
+        """Join the units of a BGP for distinct values of some variables; parts that are only tests become semi-joins."""
+        own = {graph} if graph and is_var(graph) else set()
+        vars_of = [A.pattern_vars(A.BGP(u)) | own for u in units]
+        core = {i for i, v in enumerate(vars_of) if v & (wanted - own)} or {0}
+        for t in tests:  # a filter over several units needs their rows
+            if not any(A.expr_vars(t) <= v for v in vars_of):
+                core |= {i for i, v in enumerate(vars_of) if A.expr_vars(t) & (v - own)}
         changed = True
         while changed:  # what links core parts belongs to the core
             changed = False
             for i, v in enumerate(vars_of):
                 if i not in core and sum(bool(v & vars_of[j] - wanted) for j in core) > 1:
-                    core.append(i)
+                    core.add(i)
                     changed = True
+        rel, used = None, set()
         for i in sorted(core):
             r = self.one_unit(units[i], graph)
+            for k, t in enumerate(tests):
+                if k not in used and A.expr_vars(t) <= vars_of[i]:
+                    r = self.where(r, t, graph)
+                    used.add(k)
             rel = r if rel is None else self.join(rel, r)
-            done.append(i)
-        rest = [i for i in range(len(units)) if i not in done]
+            for k, t in enumerate(tests):
+                if k not in used and A.expr_vars(t) <= rel.vars:
+                    rel = self.where(rel, t, graph)
+                    used.add(k)
+        rest = [i for i in range(len(units)) if i not in core]
+        left = [t for k, t in enumerate(tests) if k not in used]
         while rest:  # what hangs together apart from the core is one test
             part, names = [rest.pop(0)], None
             grow = True
@@ -533,8 +569,8 @@ class Compiler:
                         part.append(i)
                         rest.remove(i)
                         grow = True
-            test = reduce(self.join, [self.one_unit(units[i], graph) for i in part])
-            rel = self.join(rel, test, "left_semi")
+            test = self.witnessed([units[i] for i in sorted(part)], graph, names & rel.vars, [t for t in left if A.expr_vars(t) <= names])
+            rel = self.join(rel, self.deduped(test.keep(rel.vars)) if test.vars & rel.vars else test, "left_semi")
         return rel
 
     def joined(self, node: A.Join, graph: str | None) -> Rel:
@@ -583,11 +619,14 @@ class Compiler:
             if isinstance(p, A.Exists):
                 rel = self.exists(rel, p, graph)
                 continue
-            x, wide = self.expression(p, rel, graph)
-            df = wide.df.where(x.ebv())
-            rel = replace(rel, df=df.select(*[F.col(f"`{c}`") for c in rel.df.columns]))
+            rel = self.where(rel, p, graph)
         return rel
 
+    def where(self, rel: Rel, test: object, graph: str | None) -> Rel:
+        x, wide = self.expression(test, rel, graph)
+        df = wide.df.where(x.ebv())
+        return replace(rel, df=df.select(*[F.col(f"`{c}`") for c in rel.df.columns]))
+
     def exists(self, rel: Rel, e: A.Exists, graph: str | None) -> Rel:
         inner, condition = e.pattern, None
         if isinstance(inner, A.Filter) and not has_exists(inner.condition) and A.expr_vars(inner.condition) - A.pattern_vars(inner.pattern):

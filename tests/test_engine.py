@@ -254,3 +254,19 @@ def test_joins_on_unbound_variables_are_compatible_mappings(loose, right):
 def test_join_on_maybe_unbound_has_no_condition_with_or(loose):
     plan = physical(loose.query("SELECT * { ?a <urn:in> <urn:A> OPTIONAL { ?a <urn:x> ?x } { ?b <urn:x> ?x } }").df)
     assert " OR " not in plan and plan.count("HashJoin") + plan.count("SortMergeJoin") > 2
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """3,000 subjects of one graph that share a value: pairs of them are 9,000,000."""
+    df = spark.range(3000).selectExpr("'<urn:g>' AS g", "concat('<urn:', id, '>') AS s", "explode(array('<urn:kind>', '<urn:n>')) AS p", "id")
+    df = df.selectExpr("g", "s", "p", f"CASE p WHEN '<urn:kind>' THEN '<urn:K>' ELSE concat('\"', id, '\"^^<{INT}>') END AS o")
+    return Engine(spark, QuadTable(df))
+
+
+def test_distinct_with_filters_joins_no_pairs(crowded):
+    text = "SELECT DISTINCT ?k { GRAPH ?g { ?a <urn:kind> ?k . ?b <urn:n> ?n FILTER(?n > %d) } }"
+    assert rows(crowded, text % 2998) == [("<urn:K>",)] and rows(crowded, text % 2999) == []
+    assert "Inner" not in physical(crowded.query(text % 5).df)
+    across = "SELECT DISTINCT ?a { GRAPH ?g { ?a <urn:n> ?n . ?b <urn:n> ?m FILTER(?n > 2996 && ?m = ?n + 1) } }"
+    assert rows(crowded, across) == [("<urn:2997>",), ("<urn:2998>",)]

@@ -688,7 +688,7 @@ class Compiler:
     # --- groups
 
     def group(self, node: A.Group, graph: str | None) -> Rel:
-        if self.optimize and not node.keys and len(node.aggregates) == 1 and node.aggregates[0][1] == A.Aggregate("COUNT", None):
+        if self.optimize and node.aggregates and all(a == A.Aggregate("COUNT", None) for _, a in node.aggregates):
             counted = self.count_join(node, graph)
             if counted is not None:
                 return counted
@@ -772,7 +772,7 @@ class Compiler:
         return [F.array_join(F.array_sort(every), a.separator).alias(name)], Ex("str", c(name))
 
     def count_join(self, node: A.Group, graph: str | None) -> Rel | None:
-        """COUNT(*) of a join without its rows: each part is counted by the variables others need, and counts multiply."""
+        """COUNT(*) of a join, by groups too, without its rows: each part is counted by the variables others need, and counts multiply."""
         parts: list[tuple[tuple, bool]] = []  # units, optional
         inner, name = node.pattern, graph
         if isinstance(inner, A.Graph) and graph is None:
@@ -789,6 +789,9 @@ class Compiler:
         g = {name} if name and is_var(name) else set()
         names = [set().union(*(A.pattern_vars(A.BGP(u)) for u in p)) | g for p, _ in parts]
         main = set().union(*(v for v, (_, o) in zip(names, parts) if not o))
+        keys = set(node.keys) | ({graph} if graph and is_var(graph) else set())
+        if not keys <= main:
+            return None
         for i, (_, opt) in enumerate(parts):
             others = set().union(*(v for j, v in enumerate(names) if j != i and parts[j][1]))
             if opt and (names[i] - main) & others:
@@ -805,7 +808,7 @@ class Compiler:
         total: Rel | None = None
         for i, (units, opt) in enumerate(parts):
             rel = reduce(self.join, [self.one_unit(u, name) for u in units])
-            later = set().union(set(), *names[i + 1 :])
+            later = set().union(keys, *names[i + 1 :])
             before = set().union(set(), *names[:i])
             part = weighted(rel, later | before, F.count(F.lit(1)))
             if total is None:
@@ -822,10 +825,16 @@ class Compiler:
             cols = total.columns(sorted(total.vars)) + [F.col(f"`__r_{c}`").alias(c) for v in fresh for c in ([col_of(v), f"{col_of(v)}__n"] if v in part.native else [col_of(v)])]
             both = Rel(joined.select(*cols, w.alias("__w")), total.sure | frozenset(fresh), native=total.native | {v: part.native[v] for v in fresh if v in part.native})
             total = weighted(both, later, F.sum("__w")) if both.vars - later else both
-        out = node.aggregates[0][0]
-        df = total.df.agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("__w"))
-        cols, native = bind(Ex("num", F.col("__w"), F.col("__w").cast(T.DECIMAL), 0), out)
-        return Rel(df.select(*cols), frozenset({out}), native=native)
+        if keys:
+            total = weighted(total, keys, F.sum("__w"))
+        else:
+            total = Rel(total.df.agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("__w")), frozenset())
+        cols, native = total.columns(sorted(keys)), dict(total.native)
+        for out, _ in node.aggregates:
+            more, kinds = bind(Ex("num", F.col("__w"), F.col("__w").cast(T.DECIMAL), 0), out)
+            cols += more
+            native |= kinds
+        return Rel(total.df.select(*cols), frozenset(keys) | {v for v, _ in node.aggregates}, native=native)
 
     def service(self, node: A.Service, graph: str | None) -> Rel:
         if node.name != FTS or self.search is None:

@@ -270,3 +270,10 @@ def test_distinct_with_filters_joins_no_pairs(crowded):
     assert "Inner" not in physical(crowded.query(text % 5).df)
     across = "SELECT DISTINCT ?a { GRAPH ?g { ?a <urn:n> ?n . ?b <urn:n> ?m FILTER(?n > 2996 && ?m = ?n + 1) } }"
     assert rows(crowded, across) == [("<urn:2997>",), ("<urn:2998>",)]
+
+
+def test_counts_of_groups_join_no_pairs(crowded):
+    assert rows(crowded, "SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?a <urn:kind> ?k . ?b <urn:kind> ?k } } GROUP BY ?g") == [("<urn:g>", i(9_000_000))]
+    text = "SELECT ?k (COUNT(*) AS ?n) { ?a <urn:kind> ?k . ?b <urn:kind> ?k . ?b <urn:n> ?m OPTIONAL { ?a <urn:none> ?x } } GROUP BY ?k"
+    assert rows(crowded, text) == [("<urn:K>", i(9_000_000))]
+    assert rows(crowded, "SELECT ?k (COUNT(*) AS ?n) { ?a <urn:none> ?k . ?b <urn:none> ?k } GROUP BY ?k") == []

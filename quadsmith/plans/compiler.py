@@ -8,6 +8,7 @@ A relation also knows which variables are bound in every row: joins on those are
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import product
@@ -311,17 +312,42 @@ class Compiler:
         return n
 
     def ordered(self, bgp: A.BGP, graph: str | None) -> list[tuple[A.Triple, ...]]:
-        """Greedy: the smallest first, then the smallest that shares a variable."""
+        """Greedy: the smallest first, then, of those that share a variable, what gives the fewest rows by the guess."""
         units = self.units(bgp, graph)
         if not self.optimize:
             return [u for _, u in units]
-        out, bound = [], set()
+        values = {u: self.values_of(u, n) for n, u in units}
+        out, bound, rows = [], {}, 1
+
+        def joined(unit: tuple[int, tuple[A.Triple, ...]]) -> int:
+            n, u = unit
+            made = rows * n
+            for v in values[u].keys() & bound.keys():
+                made = -(-made // max(values[u][v], bound[v], 1))
+            return made
+
         while units:
-            touching = [u for u in units if not bound or bound & A.pattern_vars(A.BGP(u[1]))] or units
-            best = min(touching, key=lambda u: u[0])
+            touching = [u for u in units if not bound or bound.keys() & values[u[1]].keys()] or units
+            best = min(touching, key=lambda u: (joined(u), u[0]))
+            rows = max(joined(best), 1)
             units.remove(best)
             out.append(best[1])
-            bound |= A.pattern_vars(A.BGP(best[1]))
+            for v, n in values[best[1]].items():
+                bound[v] = min(n, bound.get(v, n))
+            bound = {v: min(n, rows) for v, n in bound.items()}
+        return out
+
+    def values_of(self, unit: tuple[A.Triple, ...], rows: int) -> dict[str, int]:
+        """A guess of how many values each variable of a unit has."""
+        out: dict[str, int] = {}
+        for t in unit:
+            some = {v: math.isqrt(rows) + 1 for v in A.pattern_vars(A.BGP((t,)))}
+            if is_var(t.s):
+                some[t.s] = rows
+            if isinstance(t.p, str) and not is_var(t.p) and is_var(t.o) and t.o != t.s:
+                some[t.o] = self.source.targets(t.p) or some[t.o]
+            for v, n in some.items():
+                out[v] = min(n, rows, out.get(v, n))
         return out
 
     def one_unit(self, unit: tuple[A.Triple, ...], graph: str | None) -> Rel:

@@ -40,6 +40,10 @@ class QuadTable:
             return 1 << 20
         return sum(self.counts.values()) if p is None else self.counts.get(p, 0)
 
+    def targets(self, p: str) -> int | None:
+        """Different objects of a predicate, as far as known."""
+        return None
+
     def counted(self) -> "QuadTable":
         """With the number of rows of each predicate, for the order of joins: one row a predicate comes to the driver."""
         return QuadTable(self.quads, {r["p"]: r["n"] for r in self.quads.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()})
@@ -137,6 +141,11 @@ class MappedTables:
     def size(self, p: str | None) -> int:
         return sum(m.size() * (1 if p else 1 + len(m.predicates)) for m in self.maps if p is None or p == T.RDF_TYPE or p in m.predicates)
 
+    def targets(self, p: str) -> int | None:
+        """Different objects of a predicate, as far as known: of a link, no more than the rows it leads to."""
+        links = {m.predicates[p].prefix for m in self.maps if p in m.predicates and m.predicates[p].kind == "iri"}
+        return sum(m.size() for m in self.maps if m.prefix in links) or None
+
     def owner(self, p: str) -> TableMap | None:
         """The only table with this predicate."""
         have = [m for m in self.maps if p in m.predicates]

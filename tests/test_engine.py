@@ -7,6 +7,8 @@ import pytest
 from quadsmith.engine import Denied, Engine, Everyone, Grants, LimitExceeded, Limits, Policy
 from quadsmith.functions import terms as T
 from quadsmith.operators.search import TextSearch
+from quadsmith.plans import algebra as A
+from quadsmith.plans.compiler import Compiler
 from quadsmith.plans.parser import SparqlError, parse_query
 from quadsmith.sources.quads import QuadTable, read_nquads, write_nquads
 
@@ -277,3 +279,19 @@ def test_counts_of_groups_join_no_pairs(crowded):
     text = "SELECT ?k (COUNT(*) AS ?n) { ?a <urn:kind> ?k . ?b <urn:kind> ?k . ?b <urn:n> ?m OPTIONAL { ?a <urn:none> ?x } } GROUP BY ?k"
     assert rows(crowded, text) == [("<urn:K>", i(9_000_000))]
     assert rows(crowded, "SELECT ?k (COUNT(*) AS ?n) { ?a <urn:none> ?k . ?b <urn:none> ?k } GROUP BY ?k") == []
+
+
+class Sized(QuadTable):
+    """Links of many to few."""
+
+    def targets(self, p):
+        return {"<urn:in>": 25, "<urn:of>": 25, "<urn:by>": 900_000, "<urn:from>": 60_000}.get(p)
+
+
+def test_join_order_avoids_many_to_many(spark):
+    quads = Sized(spark.createDataFrame([], "g string, s string, p string, o string"), {"<urn:in>": 900_000, "<urn:of>": 60_000, "<urn:by>": 36_000_000, "<urn:from>": 36_000_000, "<urn:name>": 25})
+    bgp = parse_query('SELECT * { ?l <urn:by> ?c . ?l <urn:from> ?s . ?c <urn:in> ?n . ?s <urn:of> ?n . ?n <urn:name> "x" }').pattern
+    while not isinstance(bgp, A.BGP):
+        bgp = bgp.pattern
+    order = [u[0].p for u in Compiler(spark, quads).ordered(bgp, None)]
+    assert order.index("<urn:from>") < order.index("<urn:in>") or order.index("<urn:by>") < order.index("<urn:of>")

@@ -184,7 +184,7 @@ class Engine:
         compiler, q = self._compile(prepared, who, graphs)
         if q.form == "DESCRIBE":
             return self._describe(compiler, q)
-        rel = compiler.compile(q.pattern)
+        rel = compiler.asked(q.pattern) if q.form == "ASK" else compiler.compile(q.pattern)
         if q.form == "SELECT":
             names = list(q.vars) or sorted(rel.vars)
             return Result(rel, names)

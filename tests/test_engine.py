@@ -295,3 +295,10 @@ def test_join_order_avoids_many_to_many(spark):
         bgp = bgp.pattern
     order = [u[0].p for u in Compiler(spark, quads).ordered(bgp, None)]
     assert order.index("<urn:from>") < order.index("<urn:in>") or order.index("<urn:by>") < order.index("<urn:of>")
+
+
+def test_ask_joins_no_pairs(crowded):
+    ask = crowded.query("ASK { ?a <urn:kind> ?k . ?b <urn:kind> ?k . ?c <urn:kind> ?k }")
+    assert "Inner" not in physical(ask) and ask.first()["answer"]
+    assert not crowded.query("ASK { ?a <urn:kind> ?k . ?b <urn:kind> ?k . ?b <urn:none> ?x }").first()["answer"]
+    assert crowded.query("ASK { GRAPH ?g { ?a <urn:n> ?n . ?b <urn:n> ?m FILTER(?m = ?n + 2998) } }").first()["answer"]

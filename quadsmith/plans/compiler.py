@@ -626,15 +626,18 @@ class Compiler:
         right = right.keep(shared)
         if all(v in left.sure and v in right.sure for v in shared):
             return self.join(left, right, "left_anti")
-        ren = lambda c: f"__r_{c}"
-        r = right.plain().df.distinct()
-        r = r.select(*[F.col(f"`{c}`").alias(ren(c)) for c in r.columns])
-        x = lambda v: F.col(f"`{col_of(v)}`")
-        y = lambda v: F.col(f"`{ren(col_of(v))}`")
-        compatible = reduce(lambda a, b: a & b, [x(v).isNull() | y(v).isNull() | (x(v) == y(v)) for v in shared])
-        common = reduce(lambda a, b: a | b, [x(v).isNotNull() & y(v).isNotNull() for v in shared if v != graph])
-        certain = [x(v) == y(v) for v in shared if v in left.sure and v in right.sure]
-        return replace(left, df=left.df.join(r, reduce(lambda a, b: a & b, [*certain, compatible & common]), "left_anti"))
+        if len(shared) == 1:  # what is unbound equals nothing
+            certain = [replace(r, sure=r.vars, maybe=frozenset()) for r in (left, right)]
+            return replace(left, df=self.join(*certain, "left_anti").df)
+        parts = []
+        like = {f.name: f.dataType for f in left.df.schema.fields}
+        rights = self.by_bound(right, [v for v in shared if v in right.maybe])
+        for part in self.by_bound(left, [v for v in shared if v in left.maybe]):
+            for r in rights:
+                if (part.vars & r.vars) - {graph}:
+                    part = self.join(part, self.deduped(r.keep(part.vars)), "left_anti")
+            parts.append(self.shaped(part, like, left.native, left.sure).df)
+        return replace(left, df=reduce(DataFrame.unionByName, parts))
 
     def filter(self, node: A.Filter, graph: str | None) -> Rel:
         parts = conjuncts(node.condition)

@@ -302,3 +302,9 @@ def test_ask_joins_no_pairs(crowded):
     assert "Inner" not in physical(ask) and ask.first()["answer"]
     assert not crowded.query("ASK { ?a <urn:kind> ?k . ?b <urn:kind> ?k . ?b <urn:none> ?x }").first()["answer"]
     assert crowded.query("ASK { GRAPH ?g { ?a <urn:n> ?n . ?b <urn:n> ?m FILTER(?m = ?n + 2998) } }").first()["answer"]
+
+
+def test_minus_on_unbound_variables_is_by_equality(loose):
+    for right in ("?b <urn:x> ?x", "?b <urn:of> <urn:B> OPTIONAL { ?b <urn:x> ?x } OPTIONAL { ?b <urn:y> ?y }"):
+        plan = physical(loose.query(f"SELECT * {{ {LEFT} MINUS {{ {right} }} }}").df)
+        assert " OR " not in plan and "NestedLoop" not in plan

@@ -57,9 +57,20 @@ class TextSearch:
         return TextSearch(spark, rows.groupBy("g", "s").agg(F.array_join(F.array_sort(F.collect_list("t")), " ").alias("text")))
 
     def postings(self) -> DataFrame:
-        """(term, g, s, tf, dl): the index as a table, to be written partitioned as one likes."""
-        rows = self.texts.select("g", "s", analyzed(F.col("text")).alias("tokens"))
-        return rows.select("g", "s", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "g", "s", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        """(term, g, s, tf, dl): the index as a table, to be written partitioned as one likes.
+
+        A text is counted where it is read: its tokens are sorted, and a term is a run of equal ones. Only where a
+        resource has several texts are rows put together.
+        """
+        rows = self.texts.select("g", "s", F.sort_array(analyzed(F.col("text"))).alias("tokens"))
+        first = lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1))
+        starts = F.when(F.size("tokens") > 0, F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), first))
+        rows = rows.select("g", "s", "tokens", F.size("tokens").alias("dl"), starts.alias("starts"))
+        run = lambda start, i: F.struct(F.get("tokens", start).alias("term"), (F.coalesce(F.get("starts", i + 1), F.col("dl")) - start).cast("long").alias("tf"))
+        out = rows.select("g", "s", "dl", F.explode(F.transform("starts", run)).alias("run")).select("run.term", "g", "s", "dl", "run.tf")
+        if self.texts.groupBy("g", "s").count().where("count > 1").isEmpty():
+            return out
+        return out.groupBy("term", "g", "s", "dl").agg(F.sum("tf").alias("tf"))
 
     def _counted(self, words: list[str], graphs: DataFrame | None) -> DataFrame:
         rows = self.texts if graphs is None else self.texts.join(graphs.select("g"), "g", "left_semi")

@@ -308,3 +308,13 @@ def test_minus_on_unbound_variables_is_by_equality(loose):
     for right in ("?b <urn:x> ?x", "?b <urn:of> <urn:B> OPTIONAL { ?b <urn:x> ?x } OPTIONAL { ?b <urn:y> ?y }"):
         plan = physical(loose.query(f"SELECT * {{ {LEFT} MINUS {{ {right} }} }}").df)
         assert " OR " not in plan and "NestedLoop" not in plan
+
+
+def test_postings_are_counted_where_texts_are_read(spark):
+    texts = [("<urn:g>", "<urn:a>", "b a b Ä"), ("<urn:g>", "<urn:b>", "c"), ("<urn:g>", "<urn:e>", " - "), ("<urn:g>", "<urn:n>", None)]
+    schema = "g string, s string, text string"
+    once = TextSearch(spark, spark.createDataFrame(texts, schema)).postings()
+    assert sorted((r["term"], r["s"], r["tf"], r["dl"]) for r in once.collect()) == [("a", "<urn:a>", 2, 4), ("b", "<urn:a>", 2, 4), ("c", "<urn:b>", 1, 1)]
+    assert "Exchange" not in physical(once)
+    twice = TextSearch(spark, spark.createDataFrame(texts + [("<urn:g>", "<urn:b>", "c")], schema)).postings()
+    assert [(r["s"], r["tf"]) for r in twice.where("term = 'c'").collect()] == [("<urn:b>", 2)]

@@ -611,10 +611,33 @@ class Compiler:
         return Rel(df, sure, frozenset(node.vars) - sure)
 
     def optional(self, node: A.LeftJoin, graph: str | None) -> Rel:
-        left, right = self.compile(node.left, graph), self.compile(node.right, graph)
+        left = self.compile(node.left, graph)
         if node.condition is not None and has_exists(node.condition):
             raise SparqlError("EXISTS in the filter of an OPTIONAL is not supported")
-        return self.join(left, right, "left", node.condition)
+        nested = self.in_turn(left, node, graph) if self.optimize else None
+        return nested if nested is not None else self.join(left, self.compile(node.right, graph), "left", node.condition)
+
+    def in_turn(self, left: Rel, node: A.LeftJoin, graph: str | None) -> Rel | None:
+        """OPTIONAL { B OPTIONAL { C } } as B, then C where B was found: what B and C make for other rows is never made.
+
+        This needs a variable that only B binds, and that C has no variable of the left but those that B binds.
+        """
+        inner = node.right
+        if not isinstance(inner, A.LeftJoin) or (inner.condition is not None and has_exists(inner.condition)):
+            return None
+        b, c = self.compile(inner.left, graph), self.compile(inner.right, graph)
+        marks = sorted(b.sure - left.vars)
+        read = A.expr_vars(node.condition) if node.condition is not None else set()
+        inside = A.expr_vars(inner.condition) if inner.condition is not None else set()
+        if not marks or not c.vars & (left.vars | b.maybe) <= b.sure or not c.vars & b.vars or read & (c.vars - left.vars - b.vars) or inside & (left.vars - b.sure) or inside & b.maybe:
+            return None
+        if left.maybe & b.vars:
+            return None
+        first = self.join(left, b, "left", node.condition)
+        found = Rel(first.df, first.sure | b.sure, first.maybe - b.sure, first.native)
+        test = A.Call("BOUND", (A.Var(marks[0]),))
+        both = self.join(found, c, "left", test if inner.condition is None else A.Call("AND", (test, inner.condition)))
+        return replace(both, sure=first.sure, maybe=both.vars - first.sure)
 
     def minus(self, left: Rel, right: Rel, graph: str | None) -> Rel:
         """Rows with a compatible row on the right that binds a common variable go."""

@@ -318,3 +318,17 @@ def test_postings_are_counted_where_texts_are_read(spark):
     assert "Exchange" not in physical(once)
     twice = TextSearch(spark, spark.createDataFrame(texts + [("<urn:g>", "<urn:b>", "c")], schema)).postings()
     assert [(r["s"], r["tf"]) for r in twice.where("term = 'c'").collect()] == [("<urn:b>", 2)]
+
+
+def test_nested_optionals_join_in_turn(loose):
+    text = "SELECT ?t ?k ?a ?b { ?t <urn:x> ?k OPTIONAL { ?a <urn:y> ?k OPTIONAL { ?b <urn:x> ?k FILTER(?b != ?a) } } }"
+    got = rows(loose, text)
+    slow = Engine(loose.spark, loose.source, optimize=False)
+    assert got == rows(slow, text) and len(got) == 4  # 3 and 9 have an ?x, but no ?y it could belong to
+    assert sorted((r[2], r[3]) for r in got if r[2]) == [("<urn:1>", "<urn:2>")] * 2
+
+    def second(engine):
+        plan = engine.query(text).df._jdf.queryExecution().optimizedPlan().toString()
+        return [line.partition("Join LeftOuter")[0] for line in plan.split("\n") if "Join LeftOuter" in line][1]
+
+    assert ":" in second(loose) and ":" not in second(slow)  # on the left of the first join, on its right

@@ -252,7 +252,7 @@ frame("t5_prefixes", lambda s, d: _hits(_search(s, d).ranked("idio eant", None))
 frame("t10_graph_scoped", lambda s, d: _hits(_search(s, d).ranked("ties", None, s.createDataFrame([(f"<{BASE}g/documents/src3>",)], "g string"))), _bm25(["ties"], "source = 'src3'"))
 frame("t7_complete", lambda s, d: _search(s, d).complete("token trash").select(F.regexp_extract("s", r"/(\d+)>$", 1).cast("long").alias("doc_id")), f"SELECT doc_id FROM documents WHERE list_has_any({_TOKENS}, ['token', 'trash'])")
 frame("t9_search_service", lambda s, d: engine(s, d, ["documents"], search=_search(s, d)).query(PREFIX + 'SELECT ?s ?lang WHERE { SERVICE <urn:quadsmith:fts> { ?s fts:query "token" ; fts:complete true } ?s d:lang ?lang }').typed(s="key", lang="string"), f"SELECT doc_id AS s, lang FROM documents WHERE list_contains({_TOKENS}, 'token')")
-frame("t9_ranked_service", lambda s, d: engine(s, d, ["documents"], search=_search(s, d)).query(PREFIX + 'SELECT ?s ?score WHERE { SERVICE <urn:quadsmith:fts> { ?s fts:query "trash" ; fts:limit 10000 ; fts:score ?score } FILTER(?score > 0) }').typed(s="key", score="double").select("s", F.round("score", 6).alias("score")), _bm25(["trash"], prefix=False).replace("SELECT doc_id, round", "SELECT doc_id AS s, round").replace("a AS (SELECT doc_id AS s, ", "a AS (SELECT doc_id, "))
+frame("t9_ranked_service", lambda s, d: engine(s, d, ["documents"], search=_search(s, d)).query(PREFIX + 'SELECT ?s ?score WHERE { SERVICE <urn:quadsmith:fts> { ?s fts:query "trash" ; fts:complete true ; fts:score ?score } FILTER(?score > 0) }').typed(s="key", score="double").select("s", F.round("score", 6).alias("score")), _bm25(["trash"], prefix=False).replace("SELECT doc_id, round", "SELECT doc_id AS s, round").replace("a AS (SELECT doc_id AS s, ", "a AS (SELECT doc_id, "))
 frame("t1_postings", lambda s, d: _search(s, d).postings().groupBy("term").agg(F.count("s").alias("df"), F.sum("tf").alias("cf")).where("df > 50"), f"SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) > 50")
 
 # --- validation: suppliers must have a balance of 0 to 9000 and a known nation

@@ -114,7 +114,7 @@ class TextSearch:
         return hits.join(quads.select("g", "s", "p", "o"), ["g", "s"])
 
     def service(self, compiler, node: A.Service, graph: str | None) -> Rel:
-        """`?s fts:query "words"`, with fts:limit, fts:score, fts:graph or fts:complete."""
+        """`?s fts:query "words"`, with fts:limit, fts:score, fts:graph or fts:complete; with the last, scores are of all hits."""
         pattern = node.pattern
         if not isinstance(pattern, A.BGP) or len({t.s for t in pattern.triples}) != 1 or not A.is_var(pattern.triples[0].s):
             raise SparqlError("a search has one subject variable and plain patterns")
@@ -130,9 +130,9 @@ class TextSearch:
         subject = pattern.triples[0].s
         graphs = compiler.graphs
         if "complete" in given:
-            if given["complete"] != T.literal("true", f"{T.XSD}boolean") or "limit" in given or "score" in given:
-                raise SparqlError("fts:complete is true, without limit and score")
-            hits = self.complete(query, graphs)
+            if given["complete"] != T.literal("true", f"{T.XSD}boolean") or "limit" in given:
+                raise SparqlError("fts:complete is true, without limit")
+            hits = self.ranked(query, None, graphs, prefixes=False) if "score" in given else self.complete(query, graphs)
         else:
             asked = int(given["limit"].split('"')[1]) if "limit" in given else DEFAULT_LIMIT
             limit = min(asked, MAX_LIMIT)

@@ -332,3 +332,10 @@ def test_nested_optionals_join_in_turn(loose):
         return [line.partition("Join LeftOuter")[0] for line in plan.split("\n") if "Join LeftOuter" in line][1]
 
     assert ":" in second(loose) and ":" not in second(slow)  # on the left of the first join, on its right
+
+
+def test_complete_search_scores_every_hit(spark):
+    texts = spark.range(10_050).selectExpr("'<urn:g1>' AS g", "concat('<urn:', id, '>') AS s", "'water ' || id AS text")
+    e = Engine(spark, QuadTable(spark.createDataFrame(QUADS[:1], "g string, s string, p string, o string")), search=TextSearch(spark, texts))
+    found = e.query('SELECT ?s ?score { SERVICE <urn:quadsmith:fts> { ?s fts:query "water" ; fts:complete true ; fts:score ?score } FILTER(?score > 0) }').df
+    assert found.count() == found.select("s").distinct().count() == 10_050
